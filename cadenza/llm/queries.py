@@ -45,8 +45,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_secret_scan, op4_quality_rules, op6_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_secret_scan, op4_quality_rules, op6_bpe, op7_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
