@@ -51,8 +51,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_secret_scan, op4_quality_rules, op6_bpe, op7_minhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_secret_scan, op4_quality_rules, op6_bpe, op7_minhash, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
