@@ -115,7 +115,7 @@ class Merges:
 
 # Texts of these characters alone are cut by a pattern; for all others the library's own normalizer and pre-tokenizer say
 # what is lower case, a letter or white space, as tables differ between versions of Unicode.
-_PLAIN = re.compile("[\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞₠-₿]*")
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 
 
 class WordBpe:
