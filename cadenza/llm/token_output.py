@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,19 +40,23 @@ DICTIONARY_BYTES = 64 << 10
 #: A shard ends at the first document that takes it past this size.
 SHARD_BYTES = 128 << 20
 #: Pieces of text whose ids a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARACTERS = 400_000, 48
+REMEMBERED, REMEMBERED_CHARACTERS = 1_000_000, 48
+#: Text bytes that are encoded at once.
+ENCODED_BYTES = 8 << 20
 
-# Texts with white space other than blank, tab and line ends are encoded whole.
-_UNUSUAL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
-_WIDE = re.compile(r"\s\s|^\s|\s$")
+# Texts with white space other than blank, tab and line feed are encoded whole (patterns of Arrow's RE2).
+_UNUSUAL = r"[\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|<\|"
+_WIDE = r"[ \t\n][ \t\n]|\A[ \t\n]|[ \t\n]\z"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_TAIL = ".,!?*#$%&|;:"
 
 
 class ByteEncoder:
     """The ids of a tokenizers file, piece by piece.
 
-    A blank between two characters that are not white space always starts a new pre-token, so the ids of a text are those of
-    its pieces cut at such blanks. Pieces repeat: each is encoded by the tokenizers library once and remembered.
+    A blank between two characters that are not white space always starts a new pre-token, and so does the punctuation after
+    letters; the ids of a text are those of its pieces cut there. Pieces repeat: each is encoded by the tokenizers library
+    once and remembered.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -60,40 +65,88 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered, self.first, self.later = remembered, {}, {}
+        self.remembered = remembered
+        #: ids of pieces at the start of a text or after letters, and of pieces after a blank (kept without it)
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """known, with all that is wanted; what a full memory can't hold is in the returned dict only."""
-        missing = [x for x in wanted if x not in known]
-        if not missing:
-            return known
-        found = dict(zip(missing, self.whole([lead + x for x in missing])))
-        if len(known) + len(found) > self.remembered:
-            known.clear()
-            return found | dict(zip(again := [x for x in wanted if x not in found], self.whole([lead + x for x in again])))
-        known.update((k, v) for k, v in found.items() if len(k) <= REMEMBERED_CHARACTERS)
-        return known if all(len(k) <= REMEMBERED_CHARACTERS for k in missing) else known | found
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words (letters only), each after a blank: the library encodes them as one text and tells the word of each id."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4_096):
+            some = words[at : at + 4_096]
+            e = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            ids, ends = np.array(e.ids, dtype="<u4"), np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)))
+            data, at_byte = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[x:y] for x, y in zip(at_byte, at_byte[1:])]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        unusual, cut = [], []
-        for k, text in enumerate(texts):
-            if _UNUSUAL.search(text):
-                unusual.append(k)
-            else:
-                cut.append((k, _BETWEEN.split(text) if _WIDE.search(text) else text.split(" ")))
-        first = self._learn(self.first, {x[0] for _, x in cut}, "")
-        later = self._learn(self.later, set().union(*(x[1:] for _, x in cut)), " ")
-        for k, x in cut:
-            out[k] = first[x[0]] + b"".join(map(later.__getitem__, x[1:]))
-        for k, ids in zip(unusual, self.whole([texts[k] for k in unusual])):
+    def _known(self, memory: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of pieces; what is new is remembered."""
+        missing = [x for x in dict.fromkeys(pieces) if x not in memory]
+        if not missing:
+            return list(map(memory.__getitem__, pieces))
+        if len(memory) + len(missing) > self.remembered:
+            memory.clear()
+            missing = list(dict.fromkeys(pieces))
+        cores = [x.rstrip(_TAIL) for x in missing]
+        words = [c for c in dict.fromkeys(cores) if c not in memory and c.isalpha()] if lead else []
+        found = dict(zip(words, self._words(words)))
+        split = [(x, c, x[len(c) :]) for x, c in zip(missing, cores) if c and (c in found or lead and c in memory and c.isalpha())]
+        tails = list(dict.fromkeys(t for _, _, t in split if t))
+        ids_of = dict(zip(tails, self._known(self.first, tails, ""))) | {"": b""}
+        found.update((x, (found.get(c) or memory[c]) + ids_of[t]) for x, c, t in split)
+        odd = [x for x in missing if x not in found]
+        found.update(zip(odd, self.whole([lead + x for x in odd])))
+        memory.update((k, v) for k, v in found.items() if len(k) <= REMEMBERED_CHARACTERS)
+        return [memory.get(x) or found.get(x, b"") for x in pieces]
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (none null) as little-endian 32-bit integers."""
+        if not len(texts):
+            return []
+        whole = pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False)
+        wide = pc.match_substring_regex(texts, _WIDE).to_numpy(zero_copy_only=False) & ~whole
+        out: list[bytes] = [b""] * len(texts)
+        at = np.flatnonzero(whole)
+        for k, ids in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist())):
             out[k] = ids
+        for k in np.flatnonzero(wide).tolist():
+            x = _BETWEEN.split(texts[k].as_py())
+            out[k] = b"".join(self._known(self.first, x[:1], "") + self._known(self.later, x[1:], " "))
+        at = np.flatnonzero(~(whole | wide))
+        if len(at):
+            lists = pc.split_pattern(texts.take(pa.array(at)), " ")
+            starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            values = lists.flatten()
+            coded = values.dictionary_encode()
+            index = coded.indices.to_numpy().astype(np.int64)
+            unique = coded.dictionary.to_pylist()
+            heads = values.take(pa.array(starts)).to_pylist()
+            index[starts] = len(unique) + np.arange(len(at))
+            used = np.zeros(len(unique) + len(at), dtype=bool)  # what stands only at the start of texts has no ids after a blank
+            used[index] = True
+            after = [x for x, u in zip(unique, used) if u]
+            ids = iter(self._known(self.later, after, " "))
+            table = [next(ids) if u else b"" for u in used[: len(unique)]] + self._known(self.first, heads, "")
+            sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+            flat, begin = np.frombuffer(b"".join(table), dtype="<u4"), np.cumsum(sizes) - sizes
+            counts = sizes[index]
+            ends = np.cumsum(counts)
+            ids_flat = flat[np.repeat(begin[index] - ends + counts, counts) + np.arange(ends[-1])]
+            stops = ends[np.append(starts[1:], len(index)) - 1]
+            data, last = ids_flat.tobytes(), 0
+            for k, stop in zip(at.tolist(), (4 * stops).tolist()):
+                out[k] = data[last:stop]
+                last = stop
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_array(pa.array(texts, pa.string()))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ByteEncoder:
@@ -222,8 +275,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             shards.append((part, len(shards), f"{folder}/shard-{part:06d}-{len(shards):05d}", *shard.close()))
 
         for batch in batches:
-            for some in slices(batch):
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode.encode(some.column("text").to_pylist())):
+            for some in slices(batch, limit=ENCODED_BYTES):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode.encode_array(some.column("text"))):
                     shard = shard or ShardWriter(f"{folder}/shard-{part:06d}-{len(shards):05d}", dictionary, width, str(task.taskAttemptId()))
                     shard.add(doc_id, compress(packed(ids + end, width)), len(ids) // 4 + 1)
                     if shard.at >= shard_bytes:
