@@ -39,6 +39,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digests
 
@@ -51,6 +57,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
@@ -64,7 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_secret_scan, op4_quality_rules, op6_bpe, op7_minhash, op9_decontamination, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_token_output, op3_secret_scan, op4_quality_rules, op5_toxicity, op6_bpe, op7_minhash, op8_quality_cnn, op9_decontamination, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
