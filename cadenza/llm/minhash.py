@@ -5,9 +5,10 @@ integers; a second one, shifted circularly by a fixed step for each coordinate,
 minima. Equal sets collapse to a class first. Classes that share a band are candidates, and every link is confirmed on the
 full sets.
 
-No group is expanded into its pairs. In a bucket each class is compared with one pivot; classes which the links so
-far leave in different components are compared with more pivots in later rounds, until any two of them have been compared
-or are connected. Rounds are linear in the rows of buckets that aren't settled.
+No group is expanded into its pairs. In large buckets, classes with so many shingles of their own that no link there is
+possible leave first. In a bucket each class is compared with one pivot, the most central class; classes which the links so
+far leave in different components are compared with more pivots in later rounds, until any two of them have been compared,
+are connected or can't be linked. Rounds are linear in the rows of buckets that aren't settled.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .graph import components
 ROWS, MISSED = 4, 1e-6
 #: Ids of documents whose sets are needed are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Classes in a bucket up to which shingles of their own aren't counted.
+SMALL = 8
 #: Word hashes that a worker remembers.
 REMEMBERED = 400_000
 
@@ -77,10 +80,8 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     out, at = [], 0
     n = len(flat)
     rolled = np.zeros(max(0, n - size + 1), dtype=np.uint64)
-    factor = np.uint64(1)
     for j in range(size):
-        factor = factor * _M1 + _STEP | np.uint64(1)
-        rolled += (flat[j : n - size + 1 + j] if n >= size else flat[:0]) * factor
+        rolled += (flat[j : n - size + 1 + j] if n >= size else flat[:0]) * np.uint64((2 * j + 1) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
     rolled = scatter(rolled)
     for ws in words:
         k = len(ws)
@@ -169,6 +170,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def bounded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (bucket, digest, n, size) with own and label (the digest), less those of large buckets that can't have a link there.
+
+    own counts, for members of large buckets, the shingles that no other such member has: they are in no overlap within the
+    bucket, so it bounds the similarity of any pair from above. In small buckets own is 0, which bounds nothing.
+    """
+    label = F.col("digest").alias("label")
+    small = members.where(F.col("size") <= SMALL).select("bucket", "digest", "n", F.lit(0).cast("long").alias("own"), label)
+    large = members.where(F.col("size") > SMALL)
+    of_large = sets.join(large.select("digest").distinct(), "digest", "left_semi")
+    single = of_large.select("digest", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).where("sets = 1")
+    own = single.groupBy("digest").agg(F.count("*").alias("own"))
+    least = large.groupBy("bucket").agg(F.min("n").alias("least"))
+    large = large.join(own, "digest", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).join(least, "bucket")
+    shared = F.col("n") - F.col("own")
+    large = large.where(100 * shared >= percent * (F.col("n") + F.greatest("least", shared) - shared))
+    return small.union(large.select("bucket", "digest", "n", "own", label))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, missed: float = MISSED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
@@ -183,38 +203,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     classes = written(s.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     # Buckets with two classes or more, and the classes in them.
     rows_of = classes.select(F.explode("bands").alias("bucket"), "digest", "n")
-    pivot = rows_of.groupBy("bucket").agg(F.min(F.struct("digest", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").select("bucket", "pivot")
-    first = written(rows_of.join(pivot, "bucket").where("digest != pivot.digest"), "buckets")
-    possible = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-    links, labels = None, None
-    members = first.select("bucket", "digest", "n")
-    if not first.isEmpty():
-        wanted = first.select("digest").union(first.select("pivot.digest")).distinct().join(classes.select("digest", "rep"), "digest").select("rep").distinct()
-        wanted = written(wanted, "wanted")
+    shared = rows_of.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(rows_of.join(shared, "bucket"), "members")
+    labels = None
+    if not members.isEmpty():
+        wanted = written(members.select("digest").distinct().join(classes.select("digest", "rep"), "digest").select("rep").distinct(), "wanted")
         same = d["doc_id"].eqNullSafe(wanted["rep"])
         some = d.join(F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted, same, "left_semi")
         # An id that repeats may bring the same set more than once.
         sets = written(sets_of(some, size).groupBy("digest").agg(F.first("set").alias("set")), "sets")
-        pairs = first.where(possible).select(F.col("digest").alias("a"), F.col("pivot.digest").alias("b")).distinct()
-        links = written(verified(pairs, sets, percent), "verified")
-        pivots = 1
+        members = written(bounded(members, sets, percent), "members")
+        links, pivots = None, 1
         while True:
+            # The pivot is the class with the fewest shingles of its own: the most central one.
+            by = ["bucket"] if pivots == 1 else ["bucket", F.pmod(F.xxhash64("digest"), F.lit(pivots)).alias("class")]
+            chosen = members.groupBy(*by).agg(F.min(F.struct("own", "digest", "n", "label")).alias("pivot")).select("bucket", "pivot")
+            chosen = written(chosen, "pivots") if pivots > 1 else chosen
+            overlap = F.least(F.col("n") - F.col("own"), F.col("pivot.n") - F.col("pivot.own"))
+            possible = 100 * overlap >= percent * (F.col("n") + F.col("pivot.n") - overlap)
+            pairs = members.join(chosen, "bucket").where(possible & (F.col("label") != F.col("pivot.label")))
+            pairs = pairs.select(F.greatest("digest", "pivot.digest").alias("a"), F.least("digest", "pivot.digest").alias("b")).distinct()
+            found = verified(pairs, sets, percent)
+            links = written(found if links is None else links.union(found), "verified")
             labels = components(links)
-            labelled = members.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+            left = members.join(chosen.select("bucket", F.col("pivot.digest").alias("digest")), ["bucket", "digest"], "left_anti").drop("label")
+            left = written(left.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "members")
             # Only buckets that still hold different components, without those that have been pivots, go on.
-            labelled = written(labelled, "members")
-            open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-            members = written(labelled.join(open_buckets, "bucket", "left_semi"), "members")
+            open_buckets = left.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+            members = written(left.join(open_buckets, "bucket", "left_semi"), "members")
             if members.isEmpty():
                 break
             pivots *= 16
-            chosen = members.groupBy("bucket", F.pmod(F.xxhash64("digest"), F.lit(pivots)).alias("class")).agg(F.min(F.struct("digest", "n", "label")).alias("pivot")).select("bucket", "pivot")
-            chosen = written(chosen, "pivots")
-            pairs = members.join(chosen, "bucket").where(possible & (F.col("label") != F.col("pivot.label")))
-            pairs = pairs.select(F.greatest("digest", "pivot.digest").alias("a"), F.least("digest", "pivot.digest").alias("b")).distinct()
-            links = written(links.union(verified(pairs, sets, percent)), "verified")
-            used = chosen.select("bucket", F.col("pivot.digest").alias("digest"))
-            members = members.join(used, ["bucket", "digest"], "left_anti").select("bucket", "digest", "n")
     of_class = classes.select("digest", "rep")
     if labels is not None:
         grouped = of_class.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))

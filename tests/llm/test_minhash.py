@@ -26,6 +26,13 @@ def texts(seed, groups=12, size=12):
     for k in range(25):
         chain[(k * 7) % 200] = f"new{k}"
         put(chain)
+    # Copies of one text with many or few changes, more than a small bucket holds: some are linked, some with nothing.
+    base = [rng.choice(LETTERS) for _ in range(150)]
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 14)):
+            words[rng.randrange(len(words))] = f"own{k}{rng.randint(0, 9)}"
+        put(words)
     for t in ("", " \n", "A b", "a B", "one", "\x0bone\t", "É x y", "é x y", "w " * 30_000):
         out[90_000_000 + len(out)] = t
     return out
