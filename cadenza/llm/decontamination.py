@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,6 @@ UNITS = frozenset(
     "week weeks month months year years hz khz mhz ghz w kw mw v a j kj cal kcal pa kpa bar k c f % $ dollar dollars cent cents euro euros percent degrees".split()
 )
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(?:e[+-]?\d+)?")
-MEASURE = re.compile(r"([+-]?\d+(?:[.,]\d+)*)([^\W\d_]+)")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 PLAIN, NUM, NAME, UNIT = range(4)
 _PLACE = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(4)]
@@ -46,76 +46,91 @@ _PLACE = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in
 
 def word_of(raw: str) -> tuple[str, int, bool, bool]:
     """Canonical word ('' for punctuation alone), type where context doesn't matter, whether capitalised, whether a sentence ends."""
-    core = _CORE.search(raw)
-    ends = raw.rstrip("\"')]}*#$%&!").endswith((".", "?", "!", ":")) or raw.endswith(("!", "?"))
-    if not core:
-        return "", PLAIN, False, ends
-    core = core[0]
+    if raw.isalpha():
+        core, ends = raw, False
+    else:
+        found = _CORE.search(raw)
+        ends = raw.rstrip("\"')]}*#$%&!").endswith((".", "?", "!", ":")) or raw.endswith(("!", "?"))
+        if not found:
+            return "", PLAIN, False, ends
+        core = found[0]
     low = core.lower()
-    kind = NUM if NUMBER.fullmatch(low) else UNIT if low in UNITS and len(low) > 1 else PLAIN
+    kind = UNIT if low in UNITS and len(low) > 1 else NUM if core[0] in "+-0123456789" and NUMBER.fullmatch(low) else PLAIN
     return low, kind, core[0].isupper() and not core.isupper(), ends
 
 
+WORD = np.dtype([("hash", "<u8"), ("kind", "u1"), ("capital", "?"), ("ends", "?"), ("real", "?")])
+
+
 class Words:
-    """Numbers raw words; their properties lie in arrays."""
+    """Numbers raw words; their properties lie in an array that grows by doubling."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []
         self.canonical: list[str] = []
-        self.table = np.zeros(0)
+        self.table = np.zeros(1 << 12, dtype=WORD)
 
     def __call__(self, raw: list[str]) -> np.ndarray:
+        """Numbers of distinct raw words."""
         if len(self.known) > REMEMBERED:
-            self.__init__()
-        known = self.known
-        for w in set(raw).difference(known):
-            low, kind, capital, ends = word_of(w)
-            known[w] = len(self.rows)
-            self.rows.append((xxhash.xxh3_64_intdigest(low), kind, capital, ends, bool(low)))
-            self.canonical.append(low)
-        if len(self.rows) != len(self.table):
-            self.table = np.array(self.rows, dtype=[("hash", "<u8"), ("kind", "u1"), ("capital", "?"), ("ends", "?"), ("real", "?")])
+            self.known, self.canonical = {}, []
+        known, first = self.known, len(self.canonical)
+        fresh = []
+        for w in raw:
+            if w not in known:
+                low, kind, capital, ends = word_of(w)
+                known[w] = len(self.canonical)
+                self.canonical.append(low)
+                fresh.append((xxhash.xxh3_64_intdigest(low), kind, capital, ends, bool(low)))
+        if len(self.canonical) > len(self.table):
+            self.table = np.concatenate([self.table[:first], np.zeros(2 * len(self.canonical) - first, dtype=WORD)])
+        if fresh:
+            self.table[first : first + len(fresh)] = np.array(fresh, dtype=WORD)
         return np.fromiter(map(known.__getitem__, raw), dtype=np.int64, count=len(raw))
 
 
-def windows(words: Words, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers and types of the words of text, hash of each window as it is, and as a template (0: too few literal words)."""
-    # A number and the unit it is written with are two words.
-    raw = (MEASURE.sub(r"\1 \2", text) if any(c.isdigit() for c in text) else text).split()
-    ids = words(raw)
-    t = words.table[ids] if len(ids) else np.zeros(0, dtype=[("hash", "<u8"), ("kind", "u1"), ("capital", "?"), ("ends", "?"), ("real", "?")])
-    starts = np.append(True, t["ends"][:-1])[: len(t)]
-    kind = np.where((t["kind"] == PLAIN) & t["capital"] & ~starts, NAME, t["kind"])
-    real = t["real"]
-    ids, kind, plain = ids[real], kind[real], t["hash"][real]
-    n = len(ids) - WINDOW + 1
-    if n <= 0:
-        none = np.zeros(0, dtype=np.uint64)
-        return ids, kind, none, none
-    typed = np.where(kind == PLAIN, plain, np.array(_PLACE, dtype=np.uint64)[kind])
-    literal = np.concatenate([[0], np.cumsum(kind == PLAIN)])
-    enough = literal[WINDOW:] - literal[:-WINDOW] >= LITERAL
-    exact, template = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    for j in range(WINDOW):
-        f = np.uint64((2 * j + 3) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)
-        exact += plain[j : j + n] * f
-        template += typed[j : j + n] * f
-    # A template without placeholders is the window as it is.
-    return ids, kind, scatter(exact), np.where(enough, scatter(template ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0))
-
-
-def _rows(words: Words, ids: np.ndarray, kind: np.ndarray, exact: np.ndarray, template: np.ndarray, exact_at: np.ndarray, template_at: np.ndarray) -> Iterator[tuple[int, int, bool, list[str]]]:
-    """hash, place, whether a template, and slots (type and value) of the windows at the given places."""
-    for k in exact_at.tolist():
-        yield int(exact[k].astype(np.int64)), k, False, []
-    for k in template_at.tolist():
-        yield int(template[k].astype(np.int64)), k, True, [f"{kind[j]}{words.canonical[ids[j]]}" for j in range(k, k + WINDOW) if kind[j]]
-
-
-def _with_slots(kind: np.ndarray, n: int) -> np.ndarray:
-    slots = np.concatenate([[0], np.cumsum(kind != PLAIN)])
-    return (slots[WINDOW:] - slots[:-WINDOW] > 0)[:n] if n else np.zeros(0, dtype=bool)
+class Windows:
+    """The windows of a batch of texts: word numbers and types of all words in a row, where each text's words start, and for each place
+    whether a window starts there, its hash as it is, and as a template (0: too few literal words, or no placeholder)."""
+
+    def __init__(self, words: Words, texts: pa.Array):
+        # A number and the unit it is written with are two words.
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(texts, r"(\d)(\p{L})", r"\1 \2"))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        ids = words(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
+        t = words.table[ids]
+        starts = np.append(True, t["ends"])[: len(t)]
+        starts[offsets[:-1][offsets[:-1] < len(t)]] = True
+        kind = np.where((t["kind"] == PLAIN) & t["capital"] & ~starts, NAME, t["kind"])
+        before = np.concatenate([[0], np.cumsum(t["real"])])
+        self.starts = before[offsets]  # one more than texts
+        self.ids, self.kind, plain = ids[t["real"]], kind[t["real"]], t["hash"][t["real"]]
+        self.words = words
+        sizes = np.diff(self.starts)
+        self.counts = np.maximum(sizes - WINDOW + 1, 0)
+        n = max(len(self.ids) - WINDOW + 1, 0)
+        left = np.repeat(self.starts[1:], sizes) - np.arange(len(self.ids))
+        self.whole = left[:n] >= WINDOW
+        typed = np.where(self.kind == PLAIN, plain, np.array(_PLACE, dtype=np.uint64)[self.kind])
+        self.exact, template = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+        for j in range(WINDOW):
+            f = np.uint64((2 * j + 3) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)
+            self.exact += plain[j : j + n] * f
+            template += typed[j : j + n] * f
+        self.exact = scatter(self.exact)
+        literal = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
+        literal = (literal[WINDOW:] - literal[:-WINDOW])[:n] if n else np.zeros(0, dtype=np.int64)
+        use = (literal >= LITERAL) & (literal < WINDOW)
+        self.template = np.where(use, scatter(template ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0))
+
+    def rows(self, exact_at: np.ndarray, template_at: np.ndarray) -> Iterator[tuple[int, int, int, bool, list[str], int]]:
+        """Text number, hash, place in the text, whether a template, slots (type and value), windows of the text."""
+        for at, hashes, is_template in ((exact_at, self.exact, False), (template_at, self.template, True)):
+            of = np.searchsorted(self.starts, at, side="right") - 1
+            for k, d, place, h in zip(at.tolist(), of.tolist(), (at - self.starts[of]).tolist(), hashes[at].astype(np.int64).tolist()):
+                slots = [f"{self.kind[j]}{self.words.canonical[self.ids[j]]}" for j in range(k, k + WINDOW) if self.kind[j]] if is_template else []
+                yield d, h, place, is_template, slots, int(self.counts[d])
 
 
 def document_windows(docs: DataFrame, bitmap: bytes, id_name: str = "doc_id") -> DataFrame:
@@ -126,14 +141,13 @@ def document_windows(docs: DataFrame, bitmap: bytes, id_name: str = "doc_id") ->
         bits = np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8)).astype(bool) if bitmap else None
 
         def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            w = Windows(words, batch.column("text"))
+            there = (lambda h: bits[(h >> np.uint64(64 - BITS)).astype(np.int64)]) if bits is not None else (lambda h: np.ones(len(h), dtype=bool))
+            ids = batch.column(id_name).to_pylist()
             out: list[tuple] = []
-            for i, text in zip(batch.column(id_name).to_pylist(), batch.column("text").to_pylist()):
-                ids, kind, exact, template = windows(words, text)
-                template = np.where(_with_slots(kind, len(exact)), template, np.uint64(0))
-                there = (lambda h: bits[(h >> np.uint64(64 - BITS)).astype(np.int64)]) if bits is not None else (lambda h: np.ones(len(h), dtype=bool))
-                at = np.flatnonzero(there(exact)), np.flatnonzero(there(template) & (template != 0))
-                out += [(i, *r, len(exact)) for r in _rows(words, ids, kind, exact, template, *at)]
-                if len(out) > 50_000:
+            for d, *rest in w.rows(np.flatnonzero(w.whole & there(w.exact)), np.flatnonzero(w.whole & (w.template != 0) & there(w.template))):
+                out.append((ids[d], *rest))
+                if len(out) >= 50_000:
                     yield _batch(out, id_name)
                     out = []
             if out:
