@@ -61,7 +61,7 @@ def autocorrelation(samples: DataFrame, lags: int = 8, block: int = 4096) -> Dat
     s = samples.select("stream_id", div("n", block).alias("block_no"), "n", "v")
     by = Window.partitionBy("stream_id", "block_no")
     i, n = F.col("n") % block, F.count("*").over(by)
-    weight = F.when(n > 1, 0.5 * (1 - F.cos(2 * F.lit(3.141592653589793) * i / (n - 1)))).otherwise(1.0)
+    weight = 0.5 * (1 - F.cos(2 * F.lit(3.141592653589793) * i / n))
     x = s.withColumn("x", F.col("v") * weight)
     w = by.orderBy("n")
     terms = x.select("stream_id", "block_no", *(F.coalesce(F.col("x") * F.lag("x", k).over(w), F.lit(0.0)).alias(f"t{k}") for k in range(1, lags + 1)), (F.col("x") * F.col("x")).alias("t0"))

@@ -107,6 +107,8 @@ def stft(blocks: DataFrame, rate: int, bands: int = BANDS) -> DataFrame:
     first = F.coalesce(F.sum(F.ceil(F.size("samples") / HOP)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     b = blocks.select("stream_id", "samples", F.lag(tail).over(w).alias("before"), first.alias("first"))
 
+    key = blocks.schema["stream_id"].dataType.simpleString()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for sid, samples, before, at in zip(f["stream_id"], f["samples"], f["before"], f["first"]):
@@ -114,4 +116,4 @@ def stft(blocks: DataFrame, rate: int, bands: int = BANDS) -> DataFrame:
                 out = stft_frames(x, rate, bands) if before is None else stft_frames(np.concatenate([before, x]), rate, bands)[1:]
                 yield pd.DataFrame({"stream_id": sid, "frame_no": at + np.arange(len(out)), "bands": list(out.astype(np.int32))})
 
-    return b.mapInPandas(run, "stream_id long, frame_no long, bands array<int>")
+    return b.mapInPandas(run, f"stream_id {key}, frame_no long, bands array<int>")

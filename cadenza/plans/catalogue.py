@@ -442,7 +442,7 @@ def flac_stereo_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS}, b AS (SELECT stream_id, n // 256 AS block_no, n % 256 AS i, v, count(*) OVER (PARTITION BY stream_id, n // 256) AS m FROM items),
-x AS (SELECT stream_id, block_no, i, v * CASE WHEN m > 1 THEN 0.5::DOUBLE * (1 - cos(2 * 3.141592653589793::DOUBLE * i / (m - 1))) ELSE 1 END AS x FROM b)
+x AS (SELECT stream_id, block_no, i, v * 0.5::DOUBLE * (1 - cos(2 * 3.141592653589793::DOUBLE * i / m)) AS x FROM b)
 SELECT a.stream_id, a.block_no, CAST(k AS INTEGER) AS lag, round(sum(coalesce(a.x * c.x, 0)) / 1e6, 2) AS r FROM x a CROSS JOIN range(5) AS r(k) LEFT JOIN x c ON c.stream_id = a.stream_id AND c.block_no = a.block_no AND c.i = a.i - k GROUP BY ALL""")
 def flac_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.autocorrelation(items(spark, sf_dir), 4, 256).withColumn("r", F.round(F.col("r") / 1e6, 2))
