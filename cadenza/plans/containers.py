@@ -54,6 +54,16 @@ def flac_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.streams(audio.encode(audio.numbered(s, "v", 4096), "flac"))
 
 
+@query(f"WITH {SERIES} SELECT CAST(stream_id AS VARCHAR) AS stream_id, count(*) AS frames, true AS close FROM series GROUP BY stream_id")
+def vorbis_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that come back from a lossy stream, and whether they are within 10 dB below the signal."""
+    s = series(spark, sf_dir).select(F.col("stream_id").cast("string").alias("stream_id"), "n", F.greatest(F.least(F.col("v"), F.lit(32767)), F.lit(-32768)).alias("v"))
+    back = audio.samples(audio.decode(audio.encode(audio.numbered(s, "v", 4096), "vorbis")))
+    both = s.join(back.select("stream_id", "n", F.col("v").alias("w")), ["stream_id", "n"])
+    error = F.sum((F.col("v") - F.col("w")) * (F.col("v") - F.col("w")))
+    return both.groupBy("stream_id").agg(F.count("*").alias("frames"), (error * 10 <= F.sum(F.col("v") * F.col("v"))).alias("close"))
+
+
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS md5 FROM documents")
 def ogg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adts, aiff, flac, mp4, ogg, wav
+from ..functions.samples import split_round
+from . import adts, aiff, flac, mp4, ogg, vorbis, wav
 
 PCM = "stream_id string, block_no long, start_frame long, rate int, channels int, samples array<int>"
 STREAMS = "stream_id string, container string, rate int, channels int, bits int, format string, frames long, error string"
@@ -25,12 +26,14 @@ READERS: dict[str, Callable[[bytes], tuple[int, np.ndarray]]] = {
     "wav": lambda b: (lambda r: (r[0].rate, r[1]))(wav.read(b)),
     "aiff": lambda b: (lambda r: (r[0].rate, r[1]))(aiff.read(b)),
     "flac": lambda b: (lambda r: (r[0].rate, r[1]))(flac.read(b)),
+    "ogg": lambda b: (lambda r: (r[0].rate, split_round(r[1], 16)))(vorbis.decode(b)),
 }
 #: The registry of writers: (samples, rate, options) to file bytes.
 WRITERS: dict[str, Callable[..., bytes]] = {
     "wav": lambda x, rate, **o: wav.write(x.astype(np.int16), rate, **o),
     "aiff": lambda x, rate, **o: aiff.write(x.astype(np.int16), rate, **o),
     "flac": lambda x, rate, **o: flac.write(x, rate, **o),
+    "vorbis": lambda x, rate, **o: vorbis.encode(x / 32768.0, rate, **o),
 }
 
 
@@ -64,7 +67,9 @@ def _describe(data: bytes) -> tuple:
             return kind, f[0][1].rate, f[0][1].channels, None, "aac", 1024 * len(f), None
         if kind == "ogg":
             p = ogg.pages(data)
-            return kind, None, None, None, "ogg", max((x.granule for x in p), default=0), None
+            first = next((x.data for x in ogg.packets(p) if x.data[:7] == b"\1vorbis"), None)
+            i = vorbis.unpack_info(first) if first else None
+            return kind, i and i.rate, i and i.channels, None, "vorbis" if i else "ogg", max((x.granule for x in p), default=0), None
     except ValueError as e:
         return kind, None, None, None, None, None, str(e)
     return kind, None, None, None, None, None, "unknown container"
