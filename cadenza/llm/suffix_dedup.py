@@ -108,6 +108,27 @@ def run_table(docs: DataFrame, length: int) -> DataFrame:
     return map_documents(docs, make, "id long, same long, s0 long, s1 long, rel int, gram long, digest binary")
 
 
+def _ranks(high: np.ndarray, low: np.ndarray | None) -> np.ndarray:
+    """Dense ranks of pairs (or of numbers below 2**32, without low).
+
+    Up to 2**20 numbers fit one integer with their place, so that a plain sort, which is far faster than one that tracks
+    places, gives the order.
+    """
+    n = len(high)
+    small = n <= 1 << 20
+    if low is not None and not small:
+        return np.unique(high * np.uint64(n + 2) + low, return_inverse=True)[1].astype(np.uint64)
+    key = high if low is None else high << np.uint64(21) | low
+    if not small:
+        return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    key = np.sort(key << np.uint64(20) | np.arange(n, dtype=np.uint64))
+    place = (key & np.uint64((1 << 20) - 1)).astype(np.int64)
+    key >>= np.uint64(20)
+    rank = np.empty(n, dtype=np.uint64)
+    rank[place] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]).astype(np.uint64) if n else rank
+    return rank
+
+
 class Family:
     """A logarithmic family of suffix arrays over the windows of runs.
 
@@ -130,15 +151,15 @@ class Family:
     def _array(self, start: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """places in the order of their windows, and whether each equals the one before: ranks of 8 bytes, doubled up to the length."""
         end = self.used
-        at = np.ndarray((len(self.data) - 8,), dtype=">u8", buffer=self.data, strides=(1,))
+        four = np.ndarray((len(self.data) - 8,), dtype=">u4", buffer=self.data, strides=(1,))[start:end].astype(np.uint64)
         n = end - start
-        rank = np.unique(at[start:end].astype(np.uint64), return_inverse=True)[1].astype(np.int64)
-        reach = 8
+        rank = _ranks(four, None)
+        reach = 4
         while reach < self.length:
             step = min(reach, self.length - reach)
-            after = np.zeros(n, dtype=np.int64)
-            after[: n - step] = rank[step:] + 1
-            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
+            after = np.zeros(n, dtype=np.uint64)
+            after[: n - step] = rank[step:] + np.uint64(1)
+            rank = _ranks(rank, after)
             reach += step
         own = rank[places - start]
         order = np.argsort(own, kind="stable")
@@ -226,11 +247,11 @@ def family_spans(contents: DataFrame, length: int, batch_bytes: int = BATCH_BYTE
         for batch in batches:
             keys.append(batch.select(["gram", "digest"]))
             for c in batch.column("content").to_pylist():
-                waiting.append(c)
-                held += len(c)
-                if held >= batch_bytes:
+                if waiting and held + len(c) > batch_bytes:
                     flush()
                     held = 0
+                waiting.append(c)
+                held += len(c)
         if waiting:
             flush()
         at = 0
