@@ -35,8 +35,8 @@ HOT = 2_048
 BLOCK = 8
 #: Bytes of runs in a batch of the family, and in a task.
 BATCH_BYTES, TASK_BYTES = 1 << 20, 8 << 20
-#: Rows of places that are broadcast to the documents at most; more are joined by a shuffle.
-BROADCAST_PLACES = 400_000
+#: Rows of places (about 50 bytes each) that are broadcast to the documents at most; more are joined by a shuffle of the texts.
+BROADCAST_PLACES = 2_000_000
 _PLACE = np.uint64((1 << 30) - 1)
 
 
