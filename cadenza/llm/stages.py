@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fits, table, written
+from .minhash import BROADCAST_IDS
 from .queries import tokenizer_path
 
 
@@ -16,22 +17,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs whose doc_id is among ids(_id), or isn't (left_semi, left_anti); ids go to the texts if they are few, else texts are shuffled."""
+    return docs.join(F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids, docs["doc_id"].cast("long").eqNullSafe(ids["_id"]), how)
+
+
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Five words, a similarity of 0.8 or more."""
     from .minhash import near_duplicates
 
-    judged = near_duplicates(docs, size=5, percent=80)
-    # Rows that repeat the leading id are copies too, unless their text differs.
-    kept = judged.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    leading = written(near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")), "leading")
+    kept = _with_ids(docs, leading.distinct(), "left_semi")
+    # Rows that repeat a leading id with the same text are copies too.
+    return kept if leading.groupBy("_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no passage of the benchmark."""
     from .decontamination import contaminated
 
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"))
+    return _with_ids(docs, written(bad.distinct(), "bad"), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
