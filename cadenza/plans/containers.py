@@ -48,6 +48,14 @@ def flac_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through(spark, sf_dir, "flac", block=1152, level=5)
 
 
+@query(I16)
+def flac_parallel_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files are cut into frames, and frames are decoded by any task."""
+    s = items(spark, sf_dir).select("stream_id", "n", (F.col("v") % 65536 - 32768).alias("v"))
+    content = audio.encode(audio.numbered(s, "v", 4096), "flac", block=256, level=0)
+    return audio.samples(audio.decode_flac_frames(audio.flac_frame_table(content), 8))
+
+
 @query(f"WITH {ITEMS} SELECT CAST(stream_id AS VARCHAR) AS stream_id, 'flac' AS container, 44100 AS rate, 1 AS channels, 16 AS bits, 'flac' AS format, count(*) AS frames, CAST(NULL AS VARCHAR) AS error FROM items GROUP BY stream_id")
 def flac_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = items(spark, sf_dir).select("stream_id", "n", (F.col("v") % 65536 - 32768).alias("v"))

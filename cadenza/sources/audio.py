@@ -136,6 +136,37 @@ def flac_frames(pcm: DataFrame, bits: int = 16, level: int = 5) -> DataFrame:
     return pcm.mapInPandas(run, "stream_id string, frame_no long, frame binary")
 
 
+def flac_frame_table(content: DataFrame) -> DataFrame:
+    """stream_id, frame_no, start_frame, block, rate, channels, bits, info, frame: the frames of FLAC files, not decoded."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for sid, c in zip(f["stream_id"], f["content"]):
+                data = bytes(c)
+                if container(data[:64]) != "flac":
+                    continue
+                info, spans = flac.frame_spans(data)
+                first, rows = 0, []
+                for k, (h, a, b) in enumerate(spans):
+                    rows.append((sid, k, first, h.block, h.rate, h.channels, h.bits, info.pack(), data[a:b]))
+                    first += h.block
+                yield pd.DataFrame(rows, columns=["stream_id", "frame_no", "start_frame", "block", "rate", "channels", "bits", "info", "frame"])
+
+    return content.mapInPandas(run, "stream_id string, frame_no long, start_frame long, block int, rate int, channels int, bits int, info binary, frame binary")
+
+
+def decode_flac_frames(table: DataFrame, parts: int | None = None) -> DataFrame:
+    """Sample blocks of flac_frame_table's rows, dealt evenly: a long file is decoded by many tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = [flac.decode_frame(bytes(b), flac.parse_header(b"fLaC\x80\0\0\x22" + bytes(i))[0])[1] for b, i in zip(f["frame"], f["info"])]
+            yield pd.DataFrame({"stream_id": f["stream_id"], "block_no": f["frame_no"], "start_frame": f["start_frame"], "rate": f["rate"], "channels": f["channels"], "samples": [v.ravel().astype(np.int32) for v in x]})
+
+    t = table.repartition(parts) if parts else table
+    return t.mapInPandas(run, PCM)
+
+
 def save(content: DataFrame, folder: str, suffix: str) -> DataFrame:
     """Writes one file per row of content(stream_id, content) below folder, by tasks; gives stream_id, path, bytes.
 

@@ -212,6 +212,34 @@ def decode_frame(data: bytes, info: StreamInfo, at: int = 0, limit: int | None =
             at += 1
 
 
+def frame_spans(data: bytes) -> tuple[StreamInfo, list[tuple[FrameHeader, int, int]]]:
+    """Header, start and end of each frame, found by headers and checksums alone (nothing is decoded)."""
+    info, at = parse_header(data)
+    starts: list[tuple[FrameHeader, int]] = []
+    while (at := data.find(b"\xff", at)) >= 0:
+        try:
+            starts.append((parse_frame_header(data, at, info), at))
+        except (BadFrame, IndexError):
+            pass
+        at += 1
+    out = []
+    k = 0
+    while k < len(starts):
+        h, begin = starts[k]
+        # What looks like a header inside a frame doesn't end one: the checksum before it decides.
+        for j, end in enumerate([*(a for _, a in starts[k + 1 :]), len(data)], k + 1):
+            if end - begin > h.size + 2 and crc(data[begin : end - 2], "flac16") == int.from_bytes(data[end - 2 : end], "big"):
+                out.append((h, begin, end))
+                k = j
+                break
+            if end - begin > 2 * h.block * h.channels * 4 + 1024:
+                k += 1
+                break
+        else:
+            k += 1
+    return info, out
+
+
 def read(data: bytes) -> tuple[StreamInfo, np.ndarray]:
     info, at = parse_header(data)
     blocks = []

@@ -134,6 +134,17 @@ def test_flac_frames_stand_alone_and_resync():
         flac.parse_header(b"fLaX")
 
 
+def test_flac_frames_are_found_without_decoding():
+    x = RNG.integers(-32768, 32768, (5_000, 2))
+    data = flac.write(x, 44100, block=700)
+    info, spans = flac.frame_spans(data)
+    assert [h.number for h, *_ in spans] == list(range(8)) and spans[-1][2] == len(data)
+    assert (np.concatenate([flac.decode_frame(data[a:b], info)[1] for _, a, b in spans]) == x).all()
+    bad = bytearray(data)
+    bad[spans[2][1] + 60] ^= 1
+    assert [h.number for h, *_ in flac.frame_spans(bytes(bad))[1]] == [0, 1, 3, 4, 5, 6, 7]
+
+
 def test_checksums():
     assert checksums.crc(b"123456789", "flac8") == 0xF4
     assert checksums.crc(b"123456789", "flac16") == 0xFEE8
