@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, pcm
-from ..operators import coding, envelope, slices, spectrum, tempo
+from ..operators import blocks, coding, envelope, slices, spectrum, tempo
 from .shapes import FRAMES, ITEMS, PACKETS, SERIES, frames, items, packets, series, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,6 +486,22 @@ def aac_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.sections(items(spark, sf_dir).select("stream_id", F.col("n").alias("band"), pcm.div("qty", 20).alias("book")))
 
 
+ATTACKS = f"""{SERIES}, x AS (SELECT stream_id, n // 2 AS sub, n, v / 8192.0::DOUBLE AS x FROM series), d AS (SELECT stream_id, sub, x - 0.95::DOUBLE * coalesce(lag(x) OVER (PARTITION BY stream_id, sub ORDER BY n), 0) AS d FROM x),
+e AS (SELECT stream_id, sub, sum(d * d) AS energy FROM d GROUP BY ALL HAVING count(*) = 2), f AS (SELECT stream_id, sub // 4 - k AS frame_no, sub - (sub // 4 - k) * 4 AS b, energy FROM e, (VALUES (0), (1)) AS t(k) WHERE sub // 4 - k >= 0),
+g AS (SELECT *, lag(energy) OVER w AS p, sum(CASE WHEN b = 0 THEN greatest(energy, 1e-5::DOUBLE) ELSE energy END) OVER (PARTITION BY stream_id, frame_no ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM f WINDOW w AS (PARTITION BY stream_id, frame_no ORDER BY b)),
+h AS (SELECT stream_id, frame_no, max(b > 0 AND energy > 1e-3::DOUBLE AND energy > 8 * greatest(p, s / b, 1e-4::DOUBLE)) AS jump, arg_min(energy, b) AS first, arg_max(energy, b) AS last FROM g GROUP BY ALL HAVING count(*) = 8),
+i AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY stream_id ORDER BY frame_no), 0) AS before FROM h),
+attacks AS MATERIALIZED (SELECT stream_id, frame_no, jump OR (before > 1e-4::DOUBLE AND first > 8 * before AND first > 1e-3::DOUBLE) AS attack FROM i)"""
+
+
+@query(f"""WITH RECURSIVE {ATTACKS}, fold AS (SELECT stream_id, frame_no, CASE WHEN attack THEN 1 ELSE 0 END AS shape FROM attacks WHERE frame_no = 0
+  UNION ALL SELECT a.stream_id, a.frame_no, CASE f.shape WHEN 1 THEN 2 WHEN 2 THEN CASE WHEN a.attack THEN 2 ELSE 3 END ELSE CASE WHEN a.attack THEN 1 ELSE 0 END END FROM fold f JOIN attacks a ON a.stream_id = f.stream_id AND a.frame_no = f.frame_no + 1)
+SELECT * FROM fold""")
+def aac_window_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir).select("stream_id", "n", (F.col("v") / 8192.0).alias("x"))
+    return blocks.window_sequence(blocks.attacks(blocks.subblock_energies(s, 2)))
+
+
 @query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(round(x * 1000) AS DOUBLE)) AS x FROM embeddings), e AS (SELECT id AS entry, x AS y FROM v WHERE id < 16),
 d AS (SELECT id, entry, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v, e) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, entry) = 1""")
 def vq_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
