@@ -92,17 +92,25 @@ class ByteEncoder:
         if len(memory) + len(missing) > self.remembered:
             memory.clear()
             missing = list(dict.fromkeys(pieces))
-        cores = [x.rstrip(_TAIL) for x in missing]
-        words = [c for c in dict.fromkeys(cores) if c not in memory and c.isalpha()] if lead else []
-        found = dict(zip(words, self._words(words)))
-        split = [(x, c, x[len(c) :]) for x, c in zip(missing, cores) if c and (c in found or lead and c in memory and c.isalpha())]
-        tails = list(dict.fromkeys(t for _, _, t in split if t))
-        ids_of = dict(zip(tails, self._known(self.first, tails, ""))) | {"": b""}
-        found.update((x, (found.get(c) or memory[c]) + ids_of[t]) for x, c, t in split)
+        found: dict[str, bytes] = {}
+        if lead:  # words are encoded together; what has punctuation after it is put together from its parts
+            plain = [x for x in missing if x.isalpha()]
+            other = [(x, x.rstrip(_TAIL)) for x in missing if not x.isalpha()]
+            split = [(x, c) for x, c in other if c.isalpha()]
+            words = dict.fromkeys(plain)
+            words.update(dict.fromkeys(c for _, c in split if c not in memory))
+            found = dict(zip(words, self._words(list(words))))
+            tails = [x[len(c) :] for x, c in split]
+            for (x, c), tail in zip(split, self._known(self.first, tails, "")):
+                found[x] = (found.get(c) or memory[c]) + tail
         odd = [x for x in missing if x not in found]
         found.update(zip(odd, self.whole([lead + x for x in odd])))
-        memory.update((k, v) for k, v in found.items() if len(k) <= REMEMBERED_CHARACTERS)
-        return [memory.get(x) or found.get(x, b"") for x in pieces]
+        long = [x for x in found if len(x) > REMEMBERED_CHARACTERS]
+        memory.update(found)
+        out = list(map(memory.__getitem__, pieces))
+        for x in long:
+            del memory[x]
+        return out
 
     def encode_array(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (none null) as little-endian 32-bit integers."""
