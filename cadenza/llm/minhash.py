@@ -6,9 +6,9 @@ minima. Equal sets collapse to a class first. Classes that share a band are cand
 full sets.
 
 No group is expanded into its pairs. In large buckets, classes with so many shingles of their own that no link there is
-possible leave first. In a bucket each class is compared with one pivot, the most central class; classes which the links so
-far leave in different components are compared with more pivots in later rounds, until any two of them have been compared,
-are connected or can't be linked. Rounds are linear in the rows of buckets that aren't settled.
+possible leave first. In a bucket each class is compared with one pivot, the most central class. Buckets whose classes the
+links leave in different components are then compared in full, in blocks of bounded size, by inverted indexes: links
+found so far save the comparisons within a component.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from .graph import components
 ROWS, MISSED = 4, 1e-6
 #: Ids of documents whose sets are needed are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of shingles in a block of a bucket that is compared in full.
+BLOCK_BYTES = 8 << 20
 #: Classes in a bucket up to which shingles of their own aren't counted.
 SMALL = 8
 #: Word hashes that a worker remembers.
@@ -171,13 +174,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bounded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (bucket, digest, n, size) with own and label (the digest), less those of large buckets that can't have a link there.
+    """members (bucket, digest, n, size) with own, less those of large buckets that can't have a link there.
 
     own counts, for members of large buckets, the shingles that no other such member has: they are in no overlap within the
     bucket, so it bounds the similarity of any pair from above. In small buckets own is 0, which bounds nothing.
     """
-    label = F.col("digest").alias("label")
-    small = members.where(F.col("size") <= SMALL).select("bucket", "digest", "n", F.lit(0).cast("long").alias("own"), label)
+    small = members.where(F.col("size") <= SMALL).select("bucket", "digest", "n", F.lit(0).cast("long").alias("own"))
     large = members.where(F.col("size") > SMALL)
     of_large = sets.join(large.select("digest").distinct(), "digest", "left_semi")
     single = of_large.select("digest", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets"), F.min("digest").alias("digest")).where("sets = 1")
@@ -186,7 +188,39 @@ def bounded(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     large = large.join(own, "digest", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).join(least, "bucket")
     shared = F.col("n") - F.col("own")
     large = large.where(100 * shared >= percent * (F.col("n") + F.greatest("least", shared) - shared))
-    return small.union(large.select("bucket", "digest", "n", "own", label))
+    return small.union(large.select("bucket", "digest", "n", "own"))
+
+
+def settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within buckets, enough to connect what is linked.
+
+    members has bucket, digest, n, label. A bucket is cut into blocks of at most about BLOCK_BYTES of shingles by the hash of the
+    digest, and every two blocks meet in a group, so no group grows with the data. In a group, the classes outside its
+    largest component are looked up in the inverted index of all; no pairs are made but the links found.
+    """
+    blocks = F.ceil(F.sum("n") * 8 / BLOCK_BYTES)
+    m = members.join(members.groupBy("bucket").agg(blocks.alias("blocks")), "bucket")
+    m = m.withColumn("block", F.pmod(F.xxhash64("digest", F.lit(7)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    m = m.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "label").join(sets, "digest")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        xs = [np.asarray(x, dtype=np.int64) for x in f["set"]]
+        digests, of = f["digest"].tolist(), pd.factorize(f["label"])[0]
+        sizes = np.array([len(x) for x in xs])
+        flat, owner = np.concatenate(xs), np.repeat(np.arange(len(xs)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        found = []
+        for k in np.flatnonzero(of != np.bincount(of).argmax()).tolist():
+            low, high = np.searchsorted(flat, xs[k], "left"), np.searchsorted(flat, xs[k], "right")
+            count = high - low
+            shared = np.bincount(owner[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())], minlength=len(xs))
+            linked = np.flatnonzero((100 * shared >= percent * (sizes + sizes[k] - shared)) & (of != of[k]))
+            # One link to each other component connects it.
+            found += [(digests[k], digests[j]) for j in linked[np.unique(of[linked], return_index=True)[1]].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return m.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, missed: float = MISSED) -> DataFrame:
@@ -213,27 +247,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         # An id that repeats may bring the same set more than once.
         sets = written(sets_of(some, size).groupBy("digest").agg(F.first("set").alias("set")), "sets")
         members = written(bounded(members, sets, percent), "members")
-        links, pivots = None, 1
-        while True:
-            # The pivot is the class with the fewest shingles of its own: the most central one.
-            by = ["bucket"] if pivots == 1 else ["bucket", F.pmod(F.xxhash64("digest"), F.lit(pivots)).alias("class")]
-            chosen = members.groupBy(*by).agg(F.min(F.struct("own", "digest", "n", "label")).alias("pivot")).select("bucket", "pivot")
-            chosen = written(chosen, "pivots") if pivots > 1 else chosen
-            overlap = F.least(F.col("n") - F.col("own"), F.col("pivot.n") - F.col("pivot.own"))
-            possible = 100 * overlap >= percent * (F.col("n") + F.col("pivot.n") - overlap)
-            pairs = members.join(chosen, "bucket").where(possible & (F.col("label") != F.col("pivot.label")))
-            pairs = pairs.select(F.greatest("digest", "pivot.digest").alias("a"), F.least("digest", "pivot.digest").alias("b")).distinct()
-            found = verified(pairs, sets, percent)
-            links = written(found if links is None else links.union(found), "verified")
-            labels = components(links)
-            left = members.join(chosen.select("bucket", F.col("pivot.digest").alias("digest")), ["bucket", "digest"], "left_anti").drop("label")
-            left = written(left.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "members")
-            # Only buckets that still hold different components, without those that have been pivots, go on.
-            open_buckets = left.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-            members = written(left.join(open_buckets, "bucket", "left_semi"), "members")
-            if members.isEmpty():
-                break
-            pivots *= 16
+        # The pivot is the class with the fewest shingles of its own: the most central one.
+        pivot = members.groupBy("bucket").agg(F.min(F.struct("own", "digest", "n")).alias("pivot"))
+        overlap = F.least(F.col("n") - F.col("own"), F.col("pivot.n") - F.col("pivot.own"))
+        possible = 100 * overlap >= percent * (F.col("n") + F.col("pivot.n") - overlap)
+        pairs = members.join(pivot, "bucket").where(possible & (F.col("digest") != F.col("pivot.digest")))
+        links = written(verified(pairs.select(F.col("digest").alias("a"), F.col("pivot.digest").alias("b")).distinct(), sets, percent), "verified")
+        labels = components(links)
+        # Buckets of two have been compared; of the others, those that still hold different components are compared in full.
+        rest = members.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        rest = written(rest.join(pivot.select("bucket", F.col("pivot.digest").alias("digest")), ["bucket", "digest"], "left_anti"), "rest")
+        open_buckets = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+        more = written(settled(rest.join(open_buckets, "bucket", "left_semi"), sets, percent), "verified")
+        if not more.isEmpty():
+            labels = components(links.union(more))
     of_class = classes.select("digest", "rep")
     if labels is not None:
         grouped = of_class.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))

@@ -38,8 +38,9 @@ def texts(seed, groups=12, size=12):
     return out
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
-def test_every_link_is_found(spark, size, percent):
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 85, m.BLOCK_BYTES), (3, 70, 4_000), (5, 80, 20_000)])
+def test_every_link_is_found(spark, size, percent, block, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_BYTES", block)
     t = texts(size)
     want = m.brute_force(t, size, percent)
     rows = [(i, x, "clash") for i, x in t.items()]
