@@ -1,9 +1,11 @@
 """Benchmark decontamination by template windows.
 
 Words lose case and outer punctuation. In a template, numbers, names (capitalised words within a sentence) and units become
-typed placeholders. Windows of five words are hashed as they are and as templates; documents keep the windows that a bitmap
-of fixed size lets through, and these are hash-joined with the benchmark's. For each document and item the windows then have
-to tell one story: a slot of the item has one value in the document, of its type, and different slots have different values.
+typed placeholders. Windows of five words are hashed as they are and as templates (a template goes on until it has three
+literal words; where a capitalised word opens a sentence there is a second one, with it as a name); documents keep the
+windows that a bitmap of fixed size lets through, and these are hash-joined with the benchmark's. For each document and item
+the windows then have to tell one story: a slot of the item has one value in the document, of its type, a name of the item
+is one name in the document, and different names are different ones.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ WINDOW = 5
 LITERAL = 3
 #: An item is in a document if such a share of its windows is, or so many words in a row; with other slot values than its own, the greater share.
 COVERED, IN_A_ROW, COVERED_OTHER = 0.5, 13, 0.8
+#: With other slot values, the share is of the windows that can match then, and so many have to match at least (all, if the item has fewer).
+LEAST_OTHER = 3
 #: Bits of the bitmap, whatever the benchmark's size.
 BITS = 24
 BROADCAST_WINDOWS = 500_000
@@ -41,6 +45,8 @@ UNITS = frozenset(
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(?:e[+-]?\d+)?")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 PLAIN, NUM, NAME, UNIT = range(4)
+_BASE = 0xD6E8FEB86659FD93
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(4)]
 
 
@@ -91,7 +97,7 @@ class Words:
 
 class Windows:
     """The windows of a batch of texts: word numbers and types of all words in a row, where each text's words start, and for each place
-    whether a window starts there, its hash as it is, and as a template (0: too few literal words, or no placeholder)."""
+    whether a window starts there, its hash as it is, and as templates (0: too few literal words up to the text's end, or no placeholder)."""
 
     def __init__(self, words: Words, texts: pa.Array):
         # A number and the unit it is written with are two words.
@@ -102,39 +108,83 @@ class Windows:
         t = words.table[ids]
         starts = np.append(True, t["ends"])[: len(t)]
         starts[offsets[:-1][offsets[:-1] < len(t)]] = True
-        kind = np.where((t["kind"] == PLAIN) & t["capital"] & ~starts, NAME, t["kind"])
+        named = (t["kind"] == PLAIN) & t["capital"]
         before = np.concatenate([[0], np.cumsum(t["real"])])
         self.starts = before[offsets]  # one more than texts
-        self.ids, self.kind, plain = ids[t["real"]], kind[t["real"]], t["hash"][t["real"]]
+        self.ids, plain = ids[t["real"]], t["hash"][t["real"]]
+        # Types with capitalised words that open a sentence as they are, and as names.
+        kinds = [np.where(x, NAME, t["kind"])[t["real"]] for x in (named & ~starts, named)]
         self.words = words
         sizes = np.diff(self.starts)
         self.counts = np.maximum(sizes - WINDOW + 1, 0)
         n = max(len(self.ids) - WINDOW + 1, 0)
-        left = np.repeat(self.starts[1:], sizes) - np.arange(len(self.ids))
-        self.whole = left[:n] >= WINDOW
-        typed = np.where(self.kind == PLAIN, plain, np.array(_PLACE, dtype=np.uint64)[self.kind])
-        self.exact, template = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+        ends = np.repeat(self.starts[1:], sizes)
+        self.whole = (ends - np.arange(len(self.ids)))[:n] >= WINDOW
+        self.exact = np.zeros(n, dtype=np.uint64)
         for j in range(WINDOW):
-            f = np.uint64((2 * j + 3) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)
-            self.exact += plain[j : j + n] * f
-            template += typed[j : j + n] * f
+            self.exact += plain[j : j + n] * np.uint64((2 * j + 3) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)
         self.exact = scatter(self.exact)
-        literal = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
-        literal = (literal[WINDOW:] - literal[:-WINDOW])[:n] if n else np.zeros(0, dtype=np.int64)
-        use = (literal >= LITERAL) & (literal < WINDOW)
-        self.template = np.where(use, scatter(template ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0))
-
-    def rows(self, exact_at: np.ndarray, template_at: np.ndarray) -> Iterator[tuple[int, int, int, bool, list[str], int]]:
-        """Text number, hash, place in the text, whether a template, slots (type and value), windows of the text."""
-        for at, hashes, is_template in ((exact_at, self.exact, False), (template_at, self.template, True)):
+        opens = np.concatenate([[0], np.cumsum(kinds[0] != kinds[1])])
+        has_opening = (opens[WINDOW:] != opens[:-WINDOW])[:n] if n else np.zeros(0, dtype=bool)
+        # By typing: types, hash and end of the template at each place. The second is only there where it differs.
+        self.templates = []
+        usable = np.zeros(n, dtype=bool)
+        for k, kind in enumerate(kinds):
+            hashes, to, literal = self._templates(np.where(kind == PLAIN, plain, np.array(_PLACE, dtype=np.uint64)[kind]), kind, ends, n)
+            if k:
+                wide = np.flatnonzero(to > np.arange(n) + WINDOW)
+                has_opening[wide] = opens[to[wide]] != opens[wide]
+                usable |= (literal == WINDOW) & ~has_opening
+                usable |= hashes != 0
+                hashes = np.where(has_opening, hashes, np.uint64(0))
+            else:
+                usable |= hashes != 0
+            self.templates.append((kind, np.where(self.whole, hashes, np.uint64(0)), to))
+        #: Whether a window at a place can match where values are changed, and how many of a text's windows can.
+        self.usable = usable & self.whole
+        total = np.concatenate([[0], np.cumsum(self.usable)])
+        edge = np.minimum(self.starts, n)
+        self.usable_counts = total[edge[1:]] - total[edge[:-1]]
+
+    @staticmethod
+    def _templates(typed: np.ndarray, kind: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, end, and literal words among the first five, of the template at each of n places."""
+        template = np.zeros(n, dtype=np.uint64)
+        for j in range(WINDOW):
+            template += typed[j : j + n] * np.uint64((2 * j + 3) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)
+        count = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+        literal = (count[WINDOW:] - count[:-WINDOW])[:n] if n else np.zeros(0, dtype=np.int64)
+        hashes = np.where((literal >= LITERAL) & (literal < WINDOW), scatter(template ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0))
+        to = np.arange(n) + WINDOW
+        # Windows with too few literal words go on to the third one, if the text has it.
+        at = np.flatnonzero(literal < LITERAL)
+        where = np.flatnonzero(kind == PLAIN)
+        third = count[at] + LITERAL - 1
+        at, third = at[third < len(where)], third[third < len(where)]
+        end = where[third] + 1
+        at, end = at[end <= ends[at]], end[end <= ends[at]]
+        if len(at):
+            power = np.cumprod(np.full(len(typed), _BASE, dtype=np.uint64))
+            inverse = np.cumprod(np.full(len(typed), _BASE_INVERSE, dtype=np.uint64))
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(typed * power)])
+            hashes[at] = scatter((sums[end] - sums[at]) * inverse[at] ^ np.uint64(0x2545F4914F6CDD1D))
+            to[at] = end
+        return hashes, to, literal
+
+    def rows(self, there: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, int, bool, list[str], bool, int, int]]:
+        """Text number, hash, place in the text, whether a template, slots (type, place in the window and value), whether the window can
+        match with other values, windows of the text, and those that can; of windows whose hashes are there."""
+        plain = (None, np.where(self.whole, self.exact, np.uint64(0)), None)
+        for kind, hashes, to in (plain, *self.templates):
+            at = np.flatnonzero((hashes != 0) & there(hashes))
             of = np.searchsorted(self.starts, at, side="right") - 1
             for k, d, place, h in zip(at.tolist(), of.tolist(), (at - self.starts[of]).tolist(), hashes[at].astype(np.int64).tolist()):
-                slots = [f"{self.kind[j]}{self.words.canonical[self.ids[j]]}" for j in range(k, k + WINDOW) if self.kind[j]] if is_template else []
-                yield d, h, place, is_template, slots, int(self.counts[d])
+                slots = [f"{kind[j]}{j - k}:{self.words.canonical[self.ids[j]]}" for j in range(k, to[k]) if kind[j]] if kind is not None else []
+                yield d, h, place, kind is not None, slots, bool(self.usable[k]), int(self.counts[d]), int(self.usable_counts[d])
 
 
 def document_windows(docs: DataFrame, bitmap: bytes, id_name: str = "doc_id") -> DataFrame:
-    """id, hash, place, template, slots of windows whose hash the bitmap has (an empty one: of all windows), and n, the text's windows."""
+    """id, hash, place, template, slots, usable of windows whose hash the bitmap has (an empty one: of all windows), and n and n_usable, the text's windows."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         words = Words()
@@ -145,7 +195,7 @@ def document_windows(docs: DataFrame, bitmap: bytes, id_name: str = "doc_id") ->
             there = (lambda h: bits[(h >> np.uint64(64 - BITS)).astype(np.int64)]) if bits is not None else (lambda h: np.ones(len(h), dtype=bool))
             ids = batch.column(id_name).to_pylist()
             out: list[tuple] = []
-            for d, *rest in w.rows(np.flatnonzero(w.whole & there(w.exact)), np.flatnonzero(w.whole & (w.template != 0) & there(w.template))):
+            for d, *rest in w.rows(there):
                 out.append((ids[d], *rest))
                 if len(out) >= 50_000:
                     yield _batch(out, id_name)
@@ -155,44 +205,56 @@ def document_windows(docs: DataFrame, bitmap: bytes, id_name: str = "doc_id") ->
 
         return kernel
 
-    return map_documents(docs, make, f"{id_name} long, hash long, place long, template boolean, slots array<string>, n long")
+    return map_documents(docs, make, f"{id_name} long, hash long, place long, template boolean, slots array<string>, usable boolean, n long, n_usable long")
 
 
 def _batch(rows: list[tuple], id_name: str) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [id_name, "hash", "place", "template", "slots", "n"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.bool_(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [id_name, "hash", "place", "template", "slots", "usable", "n", "n_usable"])
 
 
-def story(item: list[tuple[int, bool, list[str]]], document: list[tuple[int, bool, list[str]]], n: int) -> tuple[float, bool]:
-    """Share of the item's n windows that the matches cover, and whether that is enough.
+def story(item: list[tuple[int, bool, list[str], bool]], document: list[tuple[int, bool, list[str], bool]], n: int, n_usable: int) -> tuple[float, bool]:
+    """Share of the item's n windows that the matches cover, and whether that is enough; n_usable of them can match with other values.
 
-    item and document have, for each match, place, whether a template, and slots on their side. Matches are taken along the
-    diagonal (document place less item place), those with most matches first; a match whose slots contradict is left out.
+    item and document have, for each match, place, whether a template, slots and whether usable on their side. Matches are taken
+    along the diagonal (document place less item place), those with most matches first; a match whose slots contradict is left out.
+    Numbers and units are held to the item's place (equal ones may be different quantities), names to the item's name.
     """
     by: dict[int, list[int]] = {}
     for k, (x, y) in enumerate(zip(item, document)):
         by.setdefault(y[0] - x[0], []).append(k)
     covered: dict[int, bool] = {}
-    to: dict[str, str] = {}
+    usable: set[int] = set()
+    to: dict[str | int, str] = {}
     back: dict[str, str] = {}
     for _, ks in sorted(by.items(), key=lambda e: (-len(e[1]), e[0])):
         for k in sorted(ks, key=lambda k: (item[k][1], item[k][0])):
-            place, template, slots = item[k]
-            if not template:
-                covered[place] = True
-                continue
-            pairs = list(zip(slots, document[k][2]))
-            new_to, new_back = dict(to), dict(back)
-            if len(slots) == len(document[k][2]) and all(a[0] == b[0] and new_to.setdefault(a, b) == b and new_back.setdefault(b, a) == a for a, b in pairs):
+            place, template, slots, can = item[k]
+            if template:
+                if len(slots) != len(document[k][2]):
+                    continue
+                new_to, new_back, same = dict(to), dict(back), True
+                for a, b in zip(slots, document[k][2]):
+                    (kind_at, value), (kind_at_b, other) = a.split(":", 1), b.split(":", 1)
+                    name = int(kind_at[0]) == NAME
+                    key = value if name else place + int(kind_at[1:])
+                    same = same and kind_at == kind_at_b and new_to.setdefault(key, other) == other and (not name or new_back.setdefault(other, value) == value)
+                if not same:
+                    continue
                 to, back = new_to, new_back
                 covered.setdefault(place, False)
+            else:
+                covered[place] = True
+            if can:
+                usable.add(place)
     exact = sorted(p for p, same in covered.items() if same)
     longest = run = 0
     for k, p in enumerate(exact):
         run = run + 1 if k and p == exact[k - 1] + 1 else 1
         longest = max(longest, run + WINDOW - 1)
     share = len(covered) / max(n, 1)
-    return share, len(exact) >= COVERED * n or longest >= IN_A_ROW or share >= COVERED_OTHER
+    other = len(usable) >= max(COVERED_OTHER * n_usable, min(n, LEAST_OTHER))
+    return share, len(exact) >= COVERED * n or longest >= IN_A_ROW or share >= COVERED_OTHER or other
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -210,15 +272,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bitmap = np.zeros(1 << BITS, dtype=bool)
     bitmap[slots.toPandas()["bit"].to_numpy(dtype=np.int64)] = True
     found = document_windows(d, np.packbits(bitmap).tobytes())
-    right = wanted.select("hash", "template", "item_id", F.struct("place", "template", "slots").alias("in_item"), F.col("n").alias("of"))
-    left = found.select("doc_id", "hash", "template", F.struct("place", "template", "slots").alias("in_document"))
+    right = wanted.select("hash", "template", "item_id", F.struct("place", "template", "slots", "usable").alias("in_item"), F.col("n").alias("of"), F.col("n_usable").alias("of_usable"))
+    left = found.select("doc_id", "hash", "template", F.struct("place", "template", "slots", "usable").alias("in_document"))
     hits = left.join(F.broadcast(right) if fits(right, BROADCAST_WINDOWS) else right, ["hash", "template"])
-    grouped = hits.groupBy("doc_id", "item_id").agg(F.max("of").alias("n"), F.collect_list(F.struct("in_item", "in_document")).alias("hits"))
+    grouped = hits.groupBy("doc_id", "item_id").agg(F.max("of").alias("n"), F.max("of_usable").alias("n_usable"), F.collect_list(F.struct("in_item", "in_document")).alias("hits"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_match = lambda x: (x["place"], x["template"], list(x["slots"]))
+        as_match = lambda x: (x["place"], x["template"], list(x["slots"]), x["usable"])
         for f in frames:
-            told = [story([as_match(h["in_item"]) for h in hs], [as_match(h["in_document"]) for h in hs], n) for hs, n in zip(f["hits"], f["n"])]
+            told = [story([as_match(h["in_item"]) for h in hs], [as_match(h["in_document"]) for h in hs], n, m) for hs, n, m in zip(f["hits"], f["n"], f["n_usable"])]
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "item_id": f["item_id"], "share": [s for s, _ in told], "leak": [x for _, x in told]})
 
     judged = grouped.mapInPandas(judge, "doc_id long, item_id long, share double, leak boolean")

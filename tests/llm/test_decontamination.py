@@ -47,3 +47,31 @@ def test_without_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not d.contaminated(docs, none).first()["contaminated"]
     assert d.contaminated(docs.limit(0), none).count() == 0
+
+
+def test_questions_with_many_slots(spark):
+    item = "Tom buys 3 pens at 4 dollars each and 2 books at 7 dollars each. How much does Tom pay in total?"
+    other = "Ann buys 5 pens at 6 dollars each and 8 books at 9 dollars each. How much does Ann pay in total?"
+    cases = [
+        (1, FILL + other, True),
+        (2, FILL + other.replace("8", "5").replace("9", "5"), True),  # equal values are no contradiction
+        (3, other.replace("does Ann", "does Eve"), False),
+        (4, FILL + item, True),
+        (5, "How much does Ann pay in total? " + FILL, False),
+        (6, FILL + other.replace("Ann buys", "then Ann buys"), True),
+    ]
+    docs = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in d.contaminated(docs, spark.createDataFrame([(1, item), (2, "Sort these numbers 5 3 2 8 1 9 7")], "item_id long, text string")).collect()}
+    assert got == {i: want for i, _, want in cases}
+
+
+def test_dense_templates_do_not_leave_the_text():
+    import pyarrow as pa
+
+    texts = ["pay 3 4 5 6", "7 8 9 words and so on here", "pay 3 4 5 6 words and", "", "x"]
+    together = d.Windows(d.Words(), pa.array(texts))
+    alone = [list(d.Windows(d.Words(), pa.array([t])).rows(lambda h: h != 0)) for t in texts]
+    rows = list(together.rows(lambda h: h != 0))
+    for k, mine in enumerate(alone):
+        assert sorted(r[1:] for r in rows if r[0] == k) == sorted(r[1:] for r in mine)
+    assert not any(r[3] for r in alone[0]) and any(r[3] for r in alone[2])
