@@ -1,7 +1,7 @@
 """Secret scans: base patterns on the text, then a worklist of decoded layers until nothing new decodes.
 
 A layer is a piece of text with, for each of its characters, the span of the original text it came from. URL and Unicode
-escapes are unwrapped in the words that hold them, base64 words are decoded (as text, or decompressed first), and each
+escapes are unwrapped in the words that hold them, together with as many words around as a pattern can reach over, base64 words are decoded (as text, or decompressed first), and each
 layer is scanned and decoded again. Layers already seen in the document are not entered twice, so cycles end.
 """
 
@@ -32,6 +32,7 @@ _HINT = re.compile(r"(?ai:pass(?:word|wd)|secret|token|api_?key)")
 _ESCAPED = re.compile(r"[^\s%\\]*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})\S*")
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+_NEXT_WORD = re.compile(r"\x20+\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A compressed layer may have so many bytes at most (its document's oversize counts those that have more).
 LAYER_BYTES = 32 << 20
@@ -52,6 +53,37 @@ def joined(spans: list[tuple[int, int, int]] | list[tuple[int, int, int]]) -> st
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def _segments(text: str) -> list[tuple[int, int]]:
+    """Words with escapes and two words on each side, across blanks only; those that touch are one.
+
+    A base pattern has at most two runs of blanks (around = or :) and no other white space, so one that needs a decoded word
+    lies within such a piece, and decoding pieces finds what decoding the whole text would.
+    """
+    out: list[list[int]] = []
+    for m in _ESCAPED.finditer(text):
+        a, b = m.span()
+        floor = out[-1][1] if out else 0
+        for _ in range(2):
+            k = a
+            while k > floor and text[k - 1] == " ":
+                k -= 1
+            if k == a or k == 0:
+                break
+            while k > floor and not text[k - 1].isspace():
+                k -= 1
+            a = k
+        if out and a <= out[-1][1]:
+            a = out[-1][0]
+            out.pop()
+        for _ in range(2):
+            after = _NEXT_WORD.match(text, b)
+            if not after:
+                break
+            b = after.end()
+        out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 class Layer:
     """Text with the original span of each character: a list, or one span for all."""
 
@@ -150,7 +182,7 @@ def scan(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int, int]
         place = (lambda a, b: (a, b)) if top else layer.span
         inner: list[Layer] = []
         if "%" in layer.text or "\\" in layer.text:
-            inner += [_unescaped(layer, m.start(), m.end(), place) for m in _ESCAPED.finditer(layer.text)]
+            inner += [_unescaped(layer, a, b, place) for a, b in _segments(layer.text)]
         for m in _BASE64.finditer(layer.text):
             try:
                 plain = _unpacked(m[0], limit)

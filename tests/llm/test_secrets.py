@@ -92,3 +92,15 @@ def test_redact(spark):
     rows = [(1, f"a {TOKEN} b {LAYERS['base64']} c", "k"), (2, "clean", "k"), (3, None, "k")]
     got = {r["doc_id"]: (r["text"], r["other"]) for r in s.redact(spark.createDataFrame(rows, "doc_id long, text string, other string")).collect()}
     assert got == {1: ("a [SECRET] b [SECRET] c", "k"), 2: ("clean", "k"), 3: (None, "k")}
+
+
+@pytest.mark.parametrize(
+    "secret",
+    ["password%3A hunter2222", "api_key\\u003d abcdef99", "\\u0022password\\u0022: \\u0022hunter2222\\u0022", "password%253A hunter2222", "p%61ssword = hunter2222", "password = %68unter2222", "password %3D hunter2222"],
+)
+def test_escapes_and_values_on_two_sides_of_a_blank(secret):
+    for lead, tail in (("", ""), ("some words here ", " and %41 more"), ("a%20b ", "\nnext line")):
+        text = lead + secret + tail
+        found = s.scan(text)[1]
+        quote_mark = 6 if secret.startswith("\\u0022") else 0
+        assert (len(lead) + quote_mark, 0, len(lead + secret) - quote_mark) in found, (text, found)
