@@ -203,14 +203,14 @@ def scan(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int, int]
     covered = {}
     for a, k, b in base:
         covered.setdefault(k, []).append((a, b))
-    more = [(a, k, b) for a, k, b in found.difference(base) if not any(x < b and a < y for x, y in covered.get(k, ()))]
+    more = [(a, k, b) for a, k, b in found.difference(base) if not any(x <= a and b <= y for x, y in covered.get(k, ()))]
     return base, sorted(more), oversize
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded, oversize.
 
-    Base spans count in n_*; spans has these and the spans of secrets in decoded layers (where no base span of the kind is).
+    Base spans count in n_*; spans has these and the spans of secrets in decoded layers (those that no base span of the kind covers).
     A null or empty text has none, spans is then empty; repeated rows are each scanned; other columns are ignored.
     """
     def make():

@@ -104,3 +104,11 @@ def test_escapes_and_values_on_two_sides_of_a_blank(secret):
         found = s.scan(text)[1]
         quote_mark = 6 if secret.startswith("\\u0022") else 0
         assert (len(lead) + quote_mark, 0, len(lead + secret) - quote_mark) in found, (text, found)
+
+
+@pytest.mark.parametrize("secret", ["password=abcdef%2Bghijklmn", f"{KEY}%41BCDEF", "0123456789abcdef01234567%38abcdef"])
+def test_decoded_spans_that_are_longer_stay(spark, secret):
+    base, more, _ = s.scan(f"x {secret} y")
+    assert base == plain_base(f"x {secret} y") and (2, base[0][1], 2 + len(secret)) in more
+    got = s.redact(spark.createDataFrame([(1, f"x {secret} y")], "doc_id long, text string")).first()["text"]
+    assert got == "x [SECRET] y"
