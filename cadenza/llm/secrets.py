@@ -1,8 +1,9 @@
 """Secret scans: base patterns on the text, then a worklist of decoded layers until nothing new decodes.
 
 A layer is a piece of text with, for each of its characters, the span of the original text it came from. URL and Unicode
-escapes are unwrapped in the words that hold them, together with as many words around as a pattern can reach over, base64 words are decoded (as text, or decompressed first), and each
-layer is scanned and decoded again. Layers already seen in the document are not entered twice, so cycles end.
+escapes are unwrapped in the words that hold them, together with as many words around as a pattern can reach over, base64 words are decoded, and each
+layer is scanned and decoded again. Bytes of base64 words, of escapes and of decompressed streams are decompressed wherever
+a gzip or zlib stream starts; long streams come in overlapping blocks. Layers already seen in the document are not entered twice, so cycles end.
 """
 
 from __future__ import annotations
@@ -34,8 +35,13 @@ _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{
 _UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _NEXT_WORD = re.compile(r"\x20+\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer may have so many bytes at most (its document's oversize counts those that have more).
-LAYER_BYTES = 32 << 20
+#: A compressed layer with more bytes is scanned in blocks of so many (its document's oversize counts those), which overlap by so many.
+LAYER_BYTES, OVERLAP = 32 << 20, 1 << 20
+# Bytes as they are written: escapes, and characters that stand for themselves.
+_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\U000000([0-9A-Fa-f]{2})|\\([nrtabfv0\\'\"])|(.)", re.S)
+_SIMPLE = dict(zip("nrtabfv0\\'\"", b"\n\r\t\a\b\f\v\0\\'\""))
+_BINARY = re.compile(r"(?:%|\\x|\\u00|\\U000000)(?:[01][0-9A-Fa-f]|[89A-Fa-f][0-9A-Fa-f])")
+_STREAM = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -130,22 +136,57 @@ def _unescaped(layer: Layer, start: int, end: int, place) -> Layer:
     return Layer("".join(text), at)
 
 
-class TooLarge(Exception):
-    pass
+def _compressed(raw: bytes) -> bool:
+    """Whether raw starts as gzip or zlib streams do."""
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 < 8 and (raw[0] << 8 | raw[1]) % 31 == 0
 
 
-def _inflated(raw: bytes, limit: int) -> bytes | None:
-    """raw decompressed, if it starts as gzip or zlib do and is sound."""
-    if raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
+def _inflated(raw: bytes, limit: int) -> Iterator[bytes]:
+    """What the sound streams (gzip members) at raw's start hold together, in one piece of up to limit bytes or else in overlapping ones.
+
+    A stream that breaks off or is damaged is left out if it is in the first piece; later on, what came of it until then is in.
+    """
+    overlap, held, fresh, given = min(OVERLAP, limit // 2), b"", 0, False
+    while _compressed(raw):
+        d, part, start = zlib.decompressobj(47), raw, fresh
+        pieces, long = [held], False
+        size = len(held)
         try:
-            d = zlib.decompressobj(47)
-            out = d.decompress(raw, limit)
-            if d.unconsumed_tail:
-                raise TooLarge
-            return out if d.eof else None
+            while not d.eof:
+                got = d.decompress(part, max(1, limit - size))
+                part = d.unconsumed_tail
+                if not got and not part and not d.eof:
+                    raise zlib.error
+                pieces.append(got)
+                size, fresh = size + len(got), fresh + len(got)
+                if size >= limit and not (d.eof and not _compressed(d.unused_data)):
+                    block = b"".join(pieces)
+                    yield block
+                    given, long, fresh = True, True, 0
+                    pieces = [block[-overlap:] if overlap else b""]
+                    size = len(pieces[0])
         except zlib.error:
-            return None
-    return None
+            if long:
+                held = b"".join(pieces)
+            else:
+                fresh = start
+            break
+        held, raw = b"".join(pieces), d.unused_data
+        # Members may be padded.
+        raw = raw.lstrip(b"\0") if raw[:1] == b"\0" else raw
+    if held and (fresh or not given):
+        yield held
+
+
+def _escaped_bytes(text: str, start: int, end: int) -> tuple[bytes, list[int]]:
+    """The bytes that text[start:end] writes with escapes, and the place of each."""
+    raw, at = bytearray(), []
+    for m in _BYTE.finditer(text, start, end):
+        code = m[1] or m[2] or m[3] or m[4]
+        c = int(code, 16) if code else _SIMPLE[m[5]] if m[5] else ord(m[6])
+        raw.append(c if c < 256 else 63)
+        at.append(m.start())
+    return bytes(raw), at
 
 
 def _as_text(raw: bytes) -> str | None:
@@ -157,49 +198,89 @@ def _as_text(raw: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
 
 
-def _unpacked(word: str, limit: int) -> str | None:
-    """The text in a base64 word."""
+def _unpacked(word: str) -> bytes | None:
+    """The bytes in a base64 word."""
     core = word.rstrip("=").replace("-", "+").replace("_", "/")
     if len(core) % 4 == 1:
         return None
     try:
-        raw = base64.b64decode(core + "=" * (-len(core) % 4))
+        return base64.b64decode(core + "=" * (-len(core) % 4))
     except (binascii.Error, ValueError):
         return None
-    inner = _inflated(raw, limit)
-    return _as_text(raw if inner is None else inner)
+
+
+class _Blocks:
+    """Blocks of a decompressed stream, taken one by one; all have the span of the whole."""
+
+    def __init__(self, raw: bytes, whole: tuple[int, int], limit: int):
+        self.blocks, self.whole, self.taken = _inflated(raw, limit), whole, 0
+
+
+def _block_text(raw: bytes) -> str | None:
+    """A block of a long stream as text; it may start or end within a character."""
+    return _as_text(raw.decode("utf-8", "ignore").encode("utf-8"))
 
 
 def scan(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, further spans from decoded layers, and how many compressed layers were too large to enter."""
+    """Base spans, further spans from decoded layers, and how many compressed layers were too large to be scanned in one piece."""
     base = base_spans(text)
     found, oversize = set(base), 0
-    work = [Layer(text)]
+    work: list[Layer | _Blocks] = [Layer(text)]
     seen = {text}
+
+    def new(raw: bytes, whole: tuple[int, int]) -> bool:
+        # The same words elsewhere in the document give other spans, so where they are is part of what was seen.
+        key = (hashlib.sha1(raw).digest(), whole)
+        known = key in seen
+        seen.add(key)
+        return not known
+
+    def enter(x: Layer) -> None:
+        if x.text and new(x.text.encode("utf-8", "replace"), x.whole or (x.at[0][0], x.at[-1][1])):
+            for a, k, b in base_spans(x.text):
+                s, e = x.span(a, b)
+                found.add((s, k, e))
+            work.append(x)
+
     while work:
         layer = work.pop()
+        if isinstance(layer, _Blocks):
+            raw = next(layer.blocks, None)
+            if raw is None:
+                continue
+            layer.taken += 1
+            oversize += layer.taken == 2
+            # The rest of the stream waits until this block is done.
+            work.append(layer)
+            if layer.taken == 1 and _compressed(raw) and new(b"stream" + raw, layer.whole):
+                work.append(_Blocks(raw, layer.whole, limit))
+            plain = _block_text(raw) if layer.taken > 1 or len(raw) >= limit else _as_text(raw)
+            if plain is not None:
+                enter(Layer(plain, whole=layer.whole))
+            continue
         top = layer.at is None and layer.whole is None
         place = (lambda a, b: (a, b)) if top else layer.span
-        inner: list[Layer] = []
         if "%" in layer.text or "\\" in layer.text:
-            inner += [_unescaped(layer, a, b, place) for a, b in _segments(layer.text)]
+            for a, b in _segments(layer.text):
+                enter(_unescaped(layer, a, b, place))
+                if _BINARY.search(layer.text, a, b):
+                    raw, at = _escaped_bytes(layer.text, a, b)
+                    last = max(m.end() for m in _ESCAPED.finditer(layer.text, a, b))
+                    for m in _STREAM.finditer(raw):
+                        k = m.start()
+                        if at[k] < last and _compressed(raw[k : k + 3]) and next(_inflated(raw[k:], min(limit, 1 << 16)), None):
+                            if new(b"stream" + raw[k:], whole := place(at[k], last)):
+                                work.append(_Blocks(raw[k:], whole, limit))
         for m in _BASE64.finditer(layer.text):
-            try:
-                plain = _unpacked(m[0], limit)
-            except TooLarge:
-                oversize += 1
+            raw = _unpacked(m[0])
+            if raw is None:
                 continue
+            whole = place(m.start(), m.end())
+            if _compressed(raw) and new(b"stream" + raw, whole):
+                work.append(_Blocks(raw, whole, limit))
+            plain = _as_text(raw)
             if plain is not None:
-                inner.append(Layer(plain, whole=place(m.start(), m.end())))
-        for x in inner:
-            # The same words elsewhere in the document give other spans, so where they are is part of what was seen.
-            key = (hashlib.sha1(x.text.encode("utf-8", "replace")).digest(), x.whole or (x.at[0][0], x.at[-1][1]))
-            if x.text and key not in seen:
-                seen.add(key)
-                for a, k, b in base_spans(x.text):
-                    s, e = x.span(a, b)
-                    found.add((s, k, e))
-                work.append(x)
+                enter(Layer(plain, whole=whole))
     covered = {}
     for a, k, b in base:
         covered.setdefault(k, []).append((a, b))

@@ -112,3 +112,38 @@ def test_decoded_spans_that_are_longer_stay(spark, secret):
     assert base == plain_base(f"x {secret} y") and (2, base[0][1], 2 + len(secret)) in more
     got = s.redact(spark.createDataFrame([(1, f"x {secret} y")], "doc_id long, text string")).first()["text"]
     assert got == "x [SECRET] y"
+
+
+def hexed(raw):
+    return "".join(f"\\x{c:02x}" for c in raw)
+
+
+PACKED = gzip.compress(f"password = hunter2hunter2 {KEY}".encode(), mtime=0)
+STREAMS = {
+    "gzip in url": quote(PACKED),
+    "zlib in url": "data=" + quote(zlib.compress(TOKEN.encode() * 9), safe=""),
+    "gzip in hex escapes": hexed(PACKED),
+    "gzip as a literal": repr(PACKED)[2:-1],
+    "gzip in unicode escapes": json.dumps(PACKED.decode("latin-1")),
+    "url twice": quote(quote(PACKED)),
+    "members": b64(gzip.compress(b"nothing here ") + PACKED),
+    "gzip of gzip": b64(gzip.compress(PACKED)),
+}
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_are_inflated_in_every_kind_of_layer(name):
+    text = f"lead {STREAMS[name]} end"
+    _, more, oversize = s.scan(text)
+    assert more and oversize == 0 and all(5 <= a < b <= 5 + len(STREAMS[name]) for a, _, b in more)
+
+
+def test_long_streams_are_scanned_in_blocks():
+    rest = " ".join(map(str, range(20_000)))
+    for at in range(95_950, 96_060, 7):
+        text = b64(zlib.compress(f"{rest[:at]} {TOKEN} é{rest[at:]}".encode()))
+        _, more, oversize = s.scan(f"x {text} y", limit=32_000)
+        assert more == [(2, 0, 2 + len(text))] and oversize == 1
+    whole = ("a b " * 8_000).encode()
+    assert list(s._inflated(zlib.compress(whole), len(whole))) == [whole]
+    assert list(s._inflated(zlib.compress(whole)[:-9], 1 << 20)) == []
