@@ -2,7 +2,8 @@
 
 A word's embedding is the sum of the hashed rows of the word and its prefixes, so that words with a common stem share what
 is learned. Filters one, two and three words wide are max-pooled over the whole text and combined by a logistic layer. Scores
-never see the language; thresholds by language are calibrated on training rows afterwards and only decide `flagged`.
+never see the language; thresholds by language are calibrated afterwards, on the scores of all labelled rows outside the
+held-out fold and the fitted sample, and only decide `flagged`.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_documents
-from .labelled import SAMPLE_CHARACTERS, SAMPLE_ROWS, held_out, sample, sigmoid
+from .common import documents, map_documents, written
+from .labelled import SAMPLE_CHARACTERS, SAMPLE_ROWS, held_out, sample, sigmoid, training_rows
 from .minhash import scatter
 
 BUCKETS, DIMENSIONS, FILTERS = 1 << 16, 12, 8
@@ -28,6 +29,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 EPOCHS, STEPS, BATCH, RATE = 3, 200, 64, 0.05
 #: Score from which predicted is 1; the share of clean training texts that a language's own threshold may flag.
 CUTOFF, CLEAN_FLAGGED = 0.7, 0.01
+#: Clean rows without which a language has no threshold of its own, the range of thresholds, and the cells a score's histogram has.
+LEAST_CLEAN, LOWEST, HIGHEST, CELLS = 20, 0.3, 0.95, 2_000
 #: Words whose filter values a worker remembers.
 REMEMBERED = 400_000
 #: Stands before and after each text, so that short ones fill the widest filter.
@@ -74,6 +77,7 @@ class Model:
     out: np.ndarray
     bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
+    fitted: list[int] = field(default_factory=list)  # ids of the rows it was fitted on
 
     def projected(self, embedded: np.ndarray) -> np.ndarray:
         """The share of each word in the filters, at each place of each width."""
@@ -205,20 +209,36 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from a bounded sample of training rows of docs (doc_id, text, lang), with a threshold for each language in it."""
+    """The model from a bounded sample of training rows of docs (doc_id, text, lang)."""
     rows, _ = sample(documents(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")), labels, "toxic", SAMPLE_ROWS, SAMPLE_CHARACTERS, "lang")
-    own = np.arange(len(rows)) % 5 == 4  # not fitted on: thresholds are calibrated on these
-    y = rows["label"].to_numpy(dtype=np.float64)
-    texts = rows["text"].tolist()
-    model = train([t for t, o in zip(texts, own) if not o], y[~own])
-    rest = rows[own].assign(score=Scorer(model)(pa.array([t for t, o in zip(texts, own) if o], pa.string())))
-    for lang, of in rest.groupby("lang"):
-        clean = np.sort(of["score"][of["label"] == 0].to_numpy())
-        if len(clean) >= 20:
-            model.thresholds[lang] = float(np.clip(clean[min(len(clean) - 1, int(np.ceil(len(clean) * (1 - CLEAN_FLAGGED))))], 0.3, 0.95))
+    rows = rows[np.arange(len(rows)) % 5 != 4]
+    model = train(rows["text"].tolist(), rows["label"].to_numpy(dtype=np.float64))
+    model.fitted = rows["doc_id"].astype(int).tolist()
     return model
 
 
+def calibrated(scored: DataFrame, labels: DataFrame, fitted: list[int]) -> dict[str, float]:
+    """Thresholds by language, from all clean labelled rows of scored (doc_id, lang, score) that may be learned from and weren't fitted on.
+
+    A threshold is the lowest edge of a cell from which on at most CLEAN_FLAGGED of the language's clean rows lie. Only counts per
+    language and cell come to the driver.
+    """
+    spark = scored.sparkSession
+    clean = training_rows(labels, "toxic").where("label = 0").select("doc_id")
+    clean = clean.join(F.broadcast(spark.createDataFrame([(i,) for i in fitted], "doc_id long")), "doc_id", "left_anti")
+    cell = F.least(F.floor(F.col("score") * CELLS), F.lit(CELLS - 1)).cast("int")
+    cells = scored.join(clean, "doc_id", "left_semi").groupBy("lang", cell.alias("cell")).count()
+    found: dict[str, np.ndarray] = {}
+    for r in cells.collect():
+        found.setdefault(r["lang"], np.zeros(CELLS + 1, dtype=np.int64))[r["cell"]] = r["count"]
+    out = {}
+    for lang, counts in sorted(found.items()):
+        if counts.sum() >= LEAST_CLEAN:
+            from_here = np.cumsum(counts[::-1])[::-1]
+            out[lang] = float(np.clip(np.argmax(from_here <= CLEAN_FLAGGED * counts.sum()) / CELLS, LOWEST, HIGHEST))
+    return out
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, threshold, flagged for each row of docs (doc_id, text, lang; others are ignored).
 
@@ -233,13 +253,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
         scorer = Scorer(model)
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            score = scorer(batch.column("text"))
-            threshold = np.array([model.thresholds.get(x, CUTOFF) for x in batch.column("lang").to_pylist()])
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= CUTOFF).astype(np.int32)), pa.array(threshold, pa.float64()), pa.array(score >= threshold)], ["doc_id", "score", "predicted", "threshold", "flagged"]
-            )
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(scorer(batch.column("text")), pa.float64())], ["doc_id", "lang", "score"])
 
         return kernel
 
-    scored = map_documents(d, make, "doc_id long, score double, predicted int, threshold double, flagged boolean")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "flagged")
+    scored = written(map_documents(d, make, "doc_id long, lang string, score double"), "scores")
+    own = model.thresholds or calibrated(scored, labels, model.fitted)
+    of_lang = d.sparkSession.createDataFrame(sorted(own.items()), "lang string, own double")
+    threshold = F.coalesce("own", F.lit(CUTOFF))
+    rows = scored.join(F.broadcast(of_lang), "lang", "left").select("doc_id", "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"), threshold.alias("threshold"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))

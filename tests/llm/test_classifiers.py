@@ -74,3 +74,22 @@ def test_chunks_cover_every_byte():
         hop = quality_cnn.HOP * quality_cnn.STEP
         seen = {j * hop + k for j in range(chunks[0]) for k in np.flatnonzero(symbols[j] != quality_cnn.PAD)}
         assert seen == set(range(n))
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 60)
+    # A language with one row in ten has few rows in a sample of 60 of each label.
+    r = [(k, text, "rare" if k % 10 == 0 else lang, bad) for k, text, lang, _, bad in rows(1_500)]
+    docs = spark.createDataFrame([x[:3] for x in r] + [(90_000, "w", "unseen")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in r], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs, labels, model).collect()}
+    fitted = set(model.fitted)
+    assert 0 < len(fitted) <= 120 and got[90_000]["threshold"] == 0.7
+    for lang in ("rare", "xx", "yy"):
+        clean = [got[x[0]] for x in r if x[2] == lang and not x[3] and not got[x[0]]["held_out"] and x[0] not in fitted]
+        score = np.array([x["score"] for x in clean])
+        (threshold,) = {x["threshold"] for x in clean}
+        edges = np.arange(toxicity.CELLS + 1) / toxicity.CELLS
+        want = next(e for e in edges if (score >= e).sum() <= 0.01 * len(score))
+        assert len(score) >= 20 and threshold == pytest.approx(np.clip(want, 0.3, 0.95), abs=1e-12)
