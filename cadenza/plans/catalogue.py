@@ -210,6 +210,16 @@ def spectrum_band_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectrum.band_energy(m, spectrum.band_edges(spark, 44100).where("band < 30"), 255.0**2)
 
 
+@query(f"""WITH {FRAMES}, bins AS (SELECT stream_id, frame_no, unnest(range(64)) AS k, unnest(bands) AS x FROM frames), {EDGES},
+sums AS (SELECT f.stream_id, f.frame_no, e.band, coalesce(sum(CAST(x AS DOUBLE) * x), 0) AS energy FROM frames f CROSS JOIN edges e
+  LEFT JOIN bins b ON b.stream_id = f.stream_id AND b.frame_no = f.frame_no AND k BETWEEN k0 AND greatest(k0, k1) GROUP BY ALL)
+SELECT stream_id, frame_no, band, energy, CAST(trunc(least(greatest((10 * log10(energy / 65025.0 + 1e-10) + 96) * (255.0 / 96), 0.0), 255.0)) AS INTEGER) AS level FROM sums""")
+def spectrum_band_energy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 bands, where spectrum_band_energy has 30; those past the frame's last bin have no energy."""
+    m = frames(spark, sf_dir).select("stream_id", "frame_no", F.transform("bands", lambda x: x.cast("double")).alias("magnitudes"))
+    return spectrum.band_energy(m, spectrum.band_edges(spark, 44100), 255.0**2)
+
+
 # --- tempo ---
 
 FLUX = f"""{FRAMES}, pairs AS (SELECT stream_id, frame_no, bands, coalesce(lag(bands) OVER (PARTITION BY stream_id ORDER BY frame_no), bands) AS before FROM frames),

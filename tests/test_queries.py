@@ -51,3 +51,15 @@ def test_query_without_sql_has_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_band_energy_of_all_bands(spark):
+    frames = QUERIES["spectrum_peak_hold"](spark, str(DATA)).select("stream_id").distinct().count()
+    got = QUERIES["spectrum_band_energy_all"](spark, str(DATA)).select("stream_id", "frame_no", "band", "energy").collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["stream_id"], r["frame_no"]), {})[r["band"]] = r["energy"]
+    assert len({s for s, _ in by}) == frames and all(sorted(x) == list(range(64)) for x in by.values())
+    assert any(x[40] > 0 for x in by.values()) and all(x[63] == 0 for x in by.values())
+    part = QUERIES["spectrum_band_energy"](spark, str(DATA)).collect()
+    assert part and all(by[r["stream_id"], r["frame_no"]][r["band"]] == r["energy"] for r in part)
