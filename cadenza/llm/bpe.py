@@ -2,7 +2,7 @@
 
 The symbols of many words lie in one flat array. A round finds the rank of every adjacent pair by binary search over the
 sorted pair keys, merges in each word all places of its lowest-ranked pair, and packs the array; words without a pair that
-merges leave. Words repeat, so a worker remembers what it has merged.
+merges leave. Words repeat, so a task remembers what it has merged.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from .common import documents, map_documents
 
-#: White-space runs whose ids a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARACTERS = 400_000, 48
+#: White-space runs whose ids a task remembers, and the longest of them.
+REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 48
 #: Symbols in one flat array (a longer word comes alone).
 BATCH_SYMBOLS = 1 << 20
 NO_RANK = np.int64(1 << 40)
@@ -178,7 +178,7 @@ class WordBpe:
         found = self._entries(missing) if missing else {}
         if len(self.known) + len(found) > self.remembered:
             found |= {r: self.known[r] for r in wanted if r in self.known}
-            self.known = {}
+            self.known.clear()
         else:
             self.known.update((r, e) for r, e in found.items() if len(r) <= REMEMBERED_CHARACTERS)
         get = lambda r: self.known.get(r) or found[r]
@@ -221,6 +221,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(" ".join([e[2] for e in entries]).encode()).hexdigest())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+        kernel.close = bpe.known.clear
         return kernel
 
     return map_documents(documents(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -237,6 +238,7 @@ def bpe_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             ids = [[int(i) for e in x for i in e[1].split(" ")] for x in entries]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(e[2] for e in x) for x in entries], pa.string())], ["doc_id", "ids", "decoded"])
 
+        kernel.close = bpe.known.clear
         return kernel
 
     return map_documents(documents(docs), make, "doc_id long, ids array<int>, decoded string")

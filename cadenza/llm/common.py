@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,17 +10,24 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text bytes that a kernel gets at once (one longer document comes alone).
 SLICE_BYTES = 4 << 20
 
-#: Where no cluster names a folder (tests): one local folder per user.
+#: Bytes of an Arrow batch between the JVM and a Python worker at most (one longer row comes alone).
+BATCH_BYTES = 16 << 20
+
+#: Where driver and executors are one process (tests) and no folder is named.
 LOCAL_DEFAULT = "/tmp/checkpoints/cadenza"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share; in its absence a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a local one will do only for a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (named or LOCAL_DEFAULT).rstrip("/")
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -34,6 +42,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` made, once nothing will read it again."""
+    hadoop, jvm = df.sparkSession.sparkContext._jsc.hadoopConfiguration(), df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES: both sides of a Python stage hold several batches at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "64m").lower().rstrip("b")
+    size = int(held[:-1]) << {"k": 10, "m": 20, "g": 30}[held[-1]] if held[-1:] in "kmg" else int(held)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy() -> None:
+    """Gives memory that this worker no longer needs back to the system: idle workers stay beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,6 +82,8 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows with at most limit bytes of text each, one row at least."""
     texts = batch.column(column)
+    if pa.types.is_struct(texts.type):
+        texts = texts.field("text")
     start = held = 0
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for k, n in enumerate(sizes):
@@ -59,8 +95,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
-def map_documents(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], object]], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """Applies make()'s kernel to bounded slices of each partition; a kernel returns one record batch or an iterator of them."""
+def map_documents(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], object]], schema: str | StructType, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """Applies make()'s kernel to bounded slices of each partition; a kernel returns one record batch or an iterator of them.
+
+    What a kernel remembers ends with the partition: if it has a function `close`, that is called then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
@@ -71,7 +110,11 @@ def map_documents(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], o
                     yield out
                 elif out is not None:
                     yield from out
+        getattr(kernel, "close", lambda: None)()
+        del kernel
+        tidy()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

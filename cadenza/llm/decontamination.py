@@ -34,7 +34,8 @@ LEAST_OTHER = 3
 #: Bits of the bitmap, whatever the benchmark's size.
 BITS = 24
 BROADCAST_WINDOWS = 500_000
-REMEMBERED = 400_000
+#: Words that a task remembers.
+REMEMBERED = 200_000
 
 #: Units.
 UNITS = frozenset(

@@ -35,8 +35,8 @@ BROADCAST_IDS = 2_000_000
 BLOCK_BYTES = 8 << 20
 #: Classes in a bucket up to which shingles of their own aren't counted.
 SMALL = 8
-#: Word hashes that a worker remembers.
-REMEMBERED = 400_000
+#: Word hashes that a task remembers.
+REMEMBERED = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -73,13 +73,11 @@ class _WordHashes(dict):
         return h
 
 
-_words = _WordHashes()
-
-
-def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], size: int, known: _WordHashes | None = None) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of size words, or of all words where there are fewer; none without words."""
+    known = _WordHashes() if known is None else known
     words = [t.encode("utf-8").lower().split() for t in texts]  # bytes: only A-Z and ASCII white space count
-    flat = np.fromiter((_words[w] for ws in words for w in ws), dtype=np.uint64, count=sum(map(len, words)))
+    flat = np.fromiter((known[w] for ws in words for w in ws), dtype=np.uint64, count=sum(map(len, words)))
     out, at = [], 0
     n = len(flat)
     rolled = np.zeros(max(0, n - size + 1), dtype=np.uint64)
@@ -136,8 +134,10 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int = ROWS) -> DataFram
     """doc_id, digest (null without words), n, bands of each row of docs (doc_id, text)."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        known = _WordHashes()
+
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(batch.column("text").to_pylist(), size)
+            sets = shingle_sets(batch.column("text").to_pylist(), size, known)
             full = [k for k, s in enumerate(sets) if len(s)]
             hashes: list[list[int] | None] = [None] * len(sets)
             if full:
@@ -157,8 +157,10 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     """digest, set of each row of docs with words."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        known = _WordHashes()
+
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [s for s in shingle_sets(batch.column("text").to_pylist(), size) if len(s)]
+            sets = [s for s in shingle_sets(batch.column("text").to_pylist(), size, known) if len(s)]
             return pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["digest", "set"])
 
         return kernel

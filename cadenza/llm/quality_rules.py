@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_documents, written
 
@@ -64,19 +65,18 @@ def counts(text: str) -> tuple[int, ...]:
     )
 
 
-def with_counts(docs: DataFrame, *kept: str) -> DataFrame:
-    """The columns kept of docs and COUNTS of its text (null: none of anything)."""
-    d = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_counted"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*kept).schema), *(f"{c} long" for c in COUNTS)])
+def with_counts(rows: DataFrame) -> DataFrame:
+    """_row (a struct with a text, among others) and COUNTS of its text (null: none of anything)."""
+    schema = StructType([rows.schema["_row"], *(StructField(c, LongType()) for c in COUNTS)])
 
     def make():
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns = list(zip(*map(counts, batch.column("_counted").to_pylist())))
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, pa.int64()) for c in columns)], [*kept, *COUNTS])
+            columns = list(zip(*(counts(t or "") for t in batch.column("_row").field("text").cast(pa.string()).to_pylist())))
+            return pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, pa.int64()) for c in columns)], ["_row", *COUNTS])
 
         return kernel
 
-    return map_documents(d, make, fields, column="_counted")
+    return map_documents(rows, make, schema, column="_row")
 
 
 def rate(name: str) -> Column:
@@ -113,7 +113,8 @@ def least_labels(allowed: float, error: float) -> int:
 
 
 def stratum() -> Column:
-    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    """The language, in a form that tells a null one from all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
 
 
 def calibration_rows(labels: DataFrame) -> DataFrame:
@@ -165,19 +166,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, allowed: float = ALLOWED,
     limits; a null lang is a stratum of its own; repeated rows are each judged and each count; without labels only the base
     limits reject; other columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    counted = written(with_counts(d, "doc_id", "lang"), "counts")
+    d = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).alias("_row"))
+    counted = written(with_counts(d).select("_row.doc_id", "_row.lang", *COUNTS), "counts")
     cutoffs = fit_cutoffs(counted, labels, allowed, error)
     return counted.select("doc_id", *COUNTS, *(rate(r).alias(r) for r in RATES), base_failed().alias("base_failed"), (~base_failed() & ~rejected_by(cutoffs)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    cutoffs = fit_cutoffs(written(with_counts(plain, "doc_id", "lang"), "counts"), labels, **options)
+    """The rows of docs that quality_rules keeps, with all their columns.
+
+    A text goes to Python and back once: rows are written with their counts, and the verdict is a filter on what was written.
+    """
     # The columns travel in one, so that none can clash with a count.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("lang").cast("string").alias("lang"), "text")
-    return with_counts(rows, "_row", "lang").where(~base_failed() & ~rejected_by(cutoffs)).select("_row.*")
+    counted = written(with_counts(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))).where(~base_failed()), "counted")
+    keyed = counted.select(F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_row.lang").cast("string").alias("lang"), *COUNTS)
+    cutoffs = fit_cutoffs(keyed, labels, **options)
+    return counted.withColumn("lang", F.col("_row.lang").cast("string")).where(~rejected_by(cutoffs)).select("_row.*")
 
 
 def brute_counts(text: str) -> Iterator[int]:

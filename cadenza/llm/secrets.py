@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, map_documents
+from .common import documents, map_documents, small_batches, tidy
 
 #: The base patterns.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -327,5 +327,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     texts[k] = "".join(out) + text[last:] if base or more else text
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
+        tidy()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -31,8 +31,8 @@ EPOCHS, STEPS, BATCH, RATE = 3, 200, 64, 0.05
 CUTOFF, CLEAN_FLAGGED = 0.7, 0.01
 #: Clean rows without which a language has no threshold of its own, the range of thresholds, and the cells a score's histogram has.
 LEAST_CLEAN, LOWEST, HIGHEST, CELLS = 20, 0.3, 0.95, 2_000
-#: Words whose filter values a worker remembers.
-REMEMBERED = 400_000
+#: Words whose filter values a task remembers.
+REMEMBERED = 200_000
 #: Stands before and after each text, so that short ones fill the widest filter.
 EDGE = ""
 
