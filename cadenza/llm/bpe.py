@@ -1,13 +1,15 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
-The symbols of many words lie in one flat array. A round finds the rank of every adjacent pair by binary search over the
-sorted pair keys, merges in each word all places of its lowest-ranked pair, and packs the array; words without a pair that
-merges leave. Words repeat, so a task remembers what it has merged.
+The symbols of many words lie in one flat array. Ranks of adjacent pairs are found by binary search over the sorted pair
+keys. A round merges in each word all places of its lowest-ranked pair, packs the array and looks up the pairs beside the
+merges; words without a pair that merges leave. A long word comes alone: its rounds go from rank to rank and cost what
+they merge, so that it takes time in proportion to its length. Words repeat, so a task remembers what it has merged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from functools import lru_cache
@@ -19,9 +21,11 @@ from pyspark.sql import DataFrame
 from .common import documents, map_documents
 
 #: White-space runs whose ids a task remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 48
+REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 32
 #: Symbols in one flat array (a longer word comes alone).
-BATCH_SYMBOLS = 1 << 20
+BATCH_SYMBOLS = 1 << 18
+#: Bytes from which on a word comes alone.
+LONG = 1 << 10
 NO_RANK = np.int64(1 << 40)
 
 
@@ -57,60 +61,130 @@ class Merges:
         self.inner = np.array([vocabulary.get(c, -1) for c in alphabet], dtype=np.int64)
         self.last = np.array([vocabulary.get(c + suffix, -1) for c in alphabet], dtype=np.int64)
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word (bytes, none empty)."""
-        out: list[np.ndarray] = []
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (bytes, none empty) in a row, and how many each word has."""
+        ids, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         start = held = 0
-        for k, w in enumerate(words):
-            if k > start and held + len(w) > BATCH_SYMBOLS:
-                out += self._batch(words[start:k])
+        for k, n in enumerate([*map(len, words), 0]):
+            long = n > LONG and self.in_order
+            if k > start and (k == len(words) or long or held + n > BATCH_SYMBOLS):
+                for x, out in zip(self._batch(words[start:k]), (ids, counts)):
+                    out.append(x)
                 start, held = k, 0
-            held += len(w)
-        return out + (self._batch(words[start:]) if start < len(words) else [])
-
-    def _batch(self, words: list[bytes]) -> list[np.ndarray]:
+            if long:
+                ids.append(self._long(words[k]))
+                counts.append(np.array([len(ids[-1])]))
+                start, held = k + 1, 0
+            else:
+                held += n
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The first symbols of words and the word of each; a byte that the vocabulary lacks is dropped."""
         lengths = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols, ends = self.inner[data], np.cumsum(lengths) - 1
         symbols[ends] = self.last[data[ends]]
         word = np.repeat(np.arange(len(words)), lengths)
-        known = symbols >= 0  # a byte that the vocabulary lacks is dropped
-        symbols, word = symbols[known], word[known]
+        known = symbols >= 0
+        return symbols[known], word[known]
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs among the sorted keys; those that no merge has are len(keys)."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.keys)) if len(self.keys) else np.zeros(len(keys), dtype=np.int64)
+
+    def _batch(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Rounds over many words at once: each merges, in every word, all places of its lowest pair; only pairs beside a merge are looked up again."""
+        ranks = np.append(self.ranks, NO_RANK)
+        symbols, word = self._symbols(words)
         settled_symbols, settled_words = [], []
+        pair = np.full(len(symbols), len(self.keys))  # that starts at each symbol
+        pair[:-1] = np.where(word[1:] == word[:-1], self._pairs(symbols[:-1], symbols[1:]), len(self.keys))
         while len(symbols):
-            same = word[1:] == word[:-1]
-            keys = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = same & (self.keys[at] == keys) if len(self.keys) else np.zeros(len(keys), dtype=bool)
-            rank = np.append(np.where(hit, self.ranks[at], NO_RANK), NO_RANK)  # of the pair that starts at each symbol
-            starts = np.flatnonzero(np.append(True, ~same))
-            lowest = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.append(starts, len(symbols)))
-            lowest = np.repeat(lowest, sizes)
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            rank = ranks[pair]
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbols))))
             active = lowest < NO_RANK
             if not active.all():
                 settled_symbols.append(symbols[~active])
                 settled_words.append(word[~active])
-                symbols, word, rank, lowest = symbols[active], word[active], rank[active], lowest[active]
+                symbols, word, pair, rank, lowest = symbols[active], word[active], pair[active], rank[active], lowest[active]
                 if not len(symbols):
                     break
-            take = rank == lowest
-            # In a run of overlapping places (a a a), every other one from the left merges.
-            where = np.flatnonzero(take)
-            new_run = np.append(True, np.diff(where) > 1)
-            first = np.repeat(where[new_run], np.diff(np.append(np.flatnonzero(new_run), len(where))))
-            where = where[(where - first) % 2 == 0]
+            where = _every_other(np.flatnonzero(rank == lowest))
             if not self.in_order:
                 where = where[np.append(True, word[where[1:]] != word[where[:-1]])]
-            pair = np.searchsorted(self.keys, symbols[where] << 32 | symbols[where + 1])
-            symbols[where] = self.merged[pair]
+            symbols[where] = self.merged[pair[where]]
             keep = np.ones(len(symbols), dtype=bool)
             keep[where + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            symbols, word, pair = symbols[keep], word[keep], pair[keep]
+            changed = np.zeros(len(symbols) + 1, dtype=bool)
+            changed[where - np.arange(len(where))] = changed[where - np.arange(len(where)) - 1] = True  # place -1 is the last of the array, which stands for none
+            if changed[len(symbols) - 1]:
+                pair[-1] = len(self.keys)
+            changed = np.flatnonzero(changed[: len(symbols) - 1])
+            pair[changed] = np.where(word[changed] == word[changed + 1], self._pairs(symbols[changed], symbols[changed + 1]), len(self.keys))
         symbols = np.concatenate(settled_symbols) if settled_symbols else symbols
         word = np.concatenate(settled_words) if settled_words else word
-        order = np.argsort(word, kind="stable")
-        return np.split(symbols[order], np.searchsorted(word[order], np.arange(1, len(words))))
+        return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _long(self, text: bytes) -> np.ndarray:
+        """One long word, rank by rank: a round costs what it merges. A pair made by a merge ranks after it, so no rank comes twice too early."""
+        symbols, _ = self._symbols([text])
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[tuple[int, int]] = []
+
+        def put(places: np.ndarray) -> None:
+            """Pairs that start at places wait for their rank."""
+            if not len(places):
+                return
+            pair = self._pairs(symbols[places], symbols[after[places]])
+            hit = pair < len(self.keys)
+            places, pair = places[hit], pair[hit]
+            order = np.argsort(pair, kind="stable")
+            places, pair = places[order], pair[order]
+            cuts = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+            for p, some in zip(pair[np.append(0, cuts)].tolist() if len(pair) else [], np.split(places, cuts)):
+                if p not in waiting:
+                    waiting[p] = []
+                    heapq.heappush(heap, (int(self.ranks[p]), p))
+                waiting[p].append(some)
+
+        put(np.arange(n - 1))
+        while heap:
+            _, p = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(p)))
+            places = places[alive[places] & (after[places] < n)]
+            left, right = int(self.keys[p]) >> 32, int(self.keys[p]) & 0xFFFFFFFF
+            places = places[(symbols[places] == left) & (symbols[after[places]] == right)]
+            if left == right:
+                # Numbered along the word, overlapping places are neighbours.
+                follows = np.append(False, after[places[:-1]] == places[1:])
+                first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(places))))
+                places = places[(np.arange(len(places)) - first) % 2 == 0]
+            if not len(places):
+                continue
+            gone = after[places]
+            symbols[places] = self.merged[p]
+            alive[gone] = False
+            after[places] = after[gone]
+            inner = after[places] < n
+            before[after[places[inner]]] = places[inner]
+            left_of = before[places]
+            put(np.unique(np.concatenate([places[inner], left_of[left_of >= 0]])))
+        return symbols[alive]
+
+
+def _every_other(where: np.ndarray) -> np.ndarray:
+    """Of places in a row (a pair that overlaps itself, as in a a a) every other one from the left."""
+    new_run = np.append(True, np.diff(where) > 1)
+    first = np.repeat(where[new_run], np.diff(np.append(np.flatnonzero(new_run), len(where))))
+    return where[(where - first) % 2 == 0]
 
 
 # Texts of these characters alone are cut by a pattern; for all others the library's own normalizer and pre-tokenizer say
@@ -131,6 +205,7 @@ class WordBpe:
         model = spec["model"]
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.tokens = {v: k for k, v in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.decimals = {i: str(i) for i in self.tokens}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -152,13 +227,11 @@ class WordBpe:
 
     def _entries(self, runs: list[str | bytes]) -> dict[str | bytes, tuple[int, str, str]]:
         words = list(map(self._words, runs))
-        flat = list(dict.fromkeys(w for ws in words for w in ws))
-        merged = dict(zip(flat, self.merges.encode(flat)))
-        out = {}
-        for r, ws in zip(runs, words):
-            ids = [i for w in ws for i in merged[w].tolist()]
-            out[r] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)))
-        return out
+        ids, counts = self.merges.encode([w for ws in words for w in ws])
+        ends = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, words)])].tolist()
+        ids = ids.tolist()
+        decimals, tokens = list(map(self.decimals.__getitem__, ids)), list(map(self.tokens.__getitem__, ids))
+        return {r: (b - a, " ".join(decimals[a:b]), " ".join(tokens[a:b])) for r, a, b in zip(runs, ends, ends[1:])}
 
     def encode(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
         """For each text its entries: number of ids, ids in decimal, tokens. Entries without ids are left out."""
@@ -179,7 +252,7 @@ class WordBpe:
         if len(self.known) + len(found) > self.remembered:
             found |= {r: self.known[r] for r in wanted if r in self.known}
             self.known.clear()
-        else:
+        if len(self.known) + len(found) <= self.remembered:
             self.known.update((r, e) for r, e in found.items() if len(r) <= REMEMBERED_CHARACTERS)
         get = lambda r: self.known.get(r) or found[r]
         out = []
@@ -235,8 +308,10 @@ def bpe_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             entries = bpe.encode(batch.column("text").to_pylist())
-            ids = [[int(i) for e in x for i in e[1].split(" ")] for x in entries]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(e[2] for e in x) for x in entries], pa.string())], ["doc_id", "ids", "decoded"])
+            flat = np.fromstring(" ".join(e[1] for x in entries for e in x), dtype=np.int32, sep=" ")
+            ends = np.cumsum([0, *(sum(e[0] for e in x) for x in entries)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([" ".join(e[2] for e in x) for x in entries], pa.string())], ["doc_id", "ids", "decoded"])
 
         kernel.close = bpe.known.clear
         return kernel

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Text bytes that a kernel gets at once (one longer document comes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch between the JVM and a Python worker at most (one longer row comes alone).
 BATCH_BYTES = 16 << 20

@@ -36,7 +36,8 @@ def test_out_of_order_merges_go_one_at_a_time():
     vocabulary = {c: k for k, c in enumerate(a)} | {"ab": 256, "abab": 257}
     m = bpe.Merges(vocabulary, [["ab", "ab"], ["a", "b"]])
     assert not m.in_order
-    assert m.encode([b"ababab"])[0].tolist() == [257, 256]
+    ids, counts = m.encode([b"ababab", b"ab"])
+    assert ids.tolist() == [257, 256, 256] and counts.tolist() == [2, 1]
 
 
 def test_rows(spark, library):
@@ -51,3 +52,21 @@ def test_rows(spark, library):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.bpe_digests(none, PATH).count() == bpe.bpe_ids(none, PATH).count() == 0
     assert bpe.bpe_ids(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH).first()["ids"] == library.encode("a b").ids
+
+
+def test_long_words_in_linear_time(library):
+    # Random letters of one unbroken word, and words whose lowest pair overlaps itself, of all lengths around the switch.
+    import time
+
+    mine, rng = bpe.WordBpe(PATH), random.Random(5)
+    for n in (bpe.LONG - 1, bpe.LONG + 1, 3 * bpe.LONG):
+        for letters in ("ab", "a", "the ", "abcdefghijklmnopqrstuvwxyz"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert mine.encode_ids(text) == library.encode(text, add_special_tokens=False).ids
+            both = [bytes(text.replace(" ", ""), "ascii")] * 2
+            ids, counts = mine.merges.encode([b"short", *both, b"words"])
+            assert counts[1] == counts[2] == len(mine.merges._batch(both[:1])[0]) and ids[counts[0] : counts[0] + counts[1]].tolist() == mine.merges._batch(both[:1])[0].tolist()
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    ids = mine.encode_ids(text)
+    assert time.time() - began < 20 and ids == library.encode(text, add_special_tokens=False).ids
