@@ -27,90 +27,93 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_documents, open_filesystem, slices, workspace, written
+from .common import documents, open_filesystem, slices, small_batches, tidy, workspace, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MAGIC = b"TOKSHRD1"
 #: The id appended to each document.
 END_ID = 0
-#: The dictionary is fitted on so many documents (those with the smallest hashed ids), so many characters of each.
-SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 400, 16_384
+#: The dictionary is fitted on so many documents at most (drawn with a fixed seed; it affects sizes only), so many characters of each.
+SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, SEED = 400, 16_384, 11
 DICTIONARY_BYTES = 64 << 10
 #: A shard ends at the first document that takes it past this size.
 SHARD_BYTES = 128 << 20
-#: Pieces of text whose ids a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARACTERS = 1_000_000, 48
 #: Text bytes that are encoded at once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 16 << 20
 
 # Texts with white space other than blank, tab and line feed are encoded whole (patterns of Arrow's RE2).
 _UNUSUAL = r"[\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|<\|"
 _WIDE = r"[ \t\n][ \t\n]|\A[ \t\n]|[ \t\n]\z"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = ".,!?*#$%&|;:"
+_BLANK = "\u0120"
+
+
+def _after(texts: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows the heads (each text starts with its own) in texts."""
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+    skipped = pc.binary_length(heads).to_numpy().astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    begin = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts)].astype(np.int64) if len(texts) else np.zeros(0, dtype=np.int64)
+    left = sizes - skipped
+    ends = np.cumsum(left)
+    at = np.repeat(begin + skipped - ends + left, left) + np.arange(ends[-1] if len(ends) else 0)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[at]))
 
 
 class ByteEncoder:
     """The ids of a tokenizers file, piece by piece.
 
     A blank between two characters that are not white space always starts a new pre-token, and so does the punctuation after
-    letters; the ids of a text are those of its pieces cut there. Pieces repeat: each is encoded by the tokenizers library
-    once and remembered.
+    letters; the ids of a text are those of its pieces cut there. Pieces repeat: of each batch of texts, each distinct one is
+    encoded by the tokenizers library once, and numpy puts the texts' ids together. Nothing is kept between batches.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered = remembered
-        #: ids of pieces at the start of a text or after letters, and of pieces after a blank (kept without it)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id's token starts with a blank (in the byte alphabet).
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(_BLANK)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words (letters only), each after a blank: the library encodes them as one text and tells the word of each id."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 4_096):
-            some = words[at : at + 4_096]
-            e = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            ids, ends = np.array(e.ids, dtype="<u4"), np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)))
-            data, at_byte = ids.tobytes(), [0, *(4 * ends).tolist()]
-            out += [data[x:y] for x, y in zip(at_byte, at_byte[1:])]
-        return out
-
-    def _known(self, memory: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
-        """Ids of pieces; what is new is remembered."""
-        missing = [x for x in dict.fromkeys(pieces) if x not in memory]
-        if not missing:
-            return list(map(memory.__getitem__, pieces))
-        if len(memory) + len(missing) > self.remembered:
-            memory.clear()
-            missing = list(dict.fromkeys(pieces))
-        found: dict[str, bytes] = {}
-        if lead:  # words are encoded together; what has punctuation after it is put together from its parts
-            plain = [x for x in missing if x.isalpha()]
-            other = [(x, x.rstrip(_TAIL)) for x in missing if not x.isalpha()]
-            split = [(x, c) for x, c in other if c.isalpha()]
-            words = dict.fromkeys(plain)
-            words.update(dict.fromkeys(c for _, c in split if c not in memory))
-            found = dict(zip(words, self._words(list(words))))
-            tails = [x[len(c) :] for x, c in split]
-            for (x, c), tail in zip(split, self._known(self.first, tails, "")):
-                found[x] = (found.get(c) or memory[c]) + tail
-        odd = [x for x in missing if x not in found]
-        found.update(zip(odd, self.whole([lead + x for x in odd])))
-        long = [x for x in found if len(x) > REMEMBERED_CHARACTERS]
-        memory.update(found)
-        out = list(map(memory.__getitem__, pieces))
-        for x in long:
-            del memory[x]
-        return out
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        ids = self.whole(texts)
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words (letters only), each after a blank: many are encoded as one text, in which just the first id of a word starts with a blank."""
+        ids = [np.zeros(0, dtype="<u4")]
+        texts = [" " + " ".join(words[at : at + 1_024]) for at in range(0, len(words), 1_024)]
+        for at in range(0, len(texts), 64):
+            ids += [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        return flat, np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
+
+    def _pieces(self, heads: list[str], later: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and begin and size of each entry; a row of two entries for each piece: those of later (after a blank), then heads (as they are)."""
+        cores = pc.utf8_rtrim(later, characters=_TAIL)
+        plain = pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False)
+        words = cores.filter(pa.array(plain)).dictionary_encode()
+        tails = _after(later, cores).filter(pa.array(plain)).dictionary_encode()
+        odd = later.filter(pa.array(~plain)).to_pylist()
+        parts = [self._words(words.dictionary.to_pylist()), self._each(tails.dictionary.to_pylist()), self._each([" " + x for x in odd]), self._each(heads)]
+        sizes = np.concatenate([[0], *(n for _, n in parts)])  # the first entry has no ids
+        base = np.cumsum([1, *(len(n) for _, n in parts)])
+        rows = np.zeros((len(later) + len(heads), 2), dtype=np.int64)
+        at = np.flatnonzero(plain)
+        rows[at, 0], rows[at, 1] = base[0] + words.indices.to_numpy(), base[1] + tails.indices.to_numpy()
+        rows[np.flatnonzero(~plain), 0] = base[2] + np.arange(len(odd))
+        rows[len(later) :, 0] = base[3] + np.arange(len(heads))
+        return np.concatenate([x for x, _ in parts]), np.cumsum(sizes) - sizes, sizes, rows
 
     def encode_array(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (none null) as little-endian 32-bit integers."""
@@ -122,31 +125,33 @@ class ByteEncoder:
         at = np.flatnonzero(whole)
         for k, ids in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist())):
             out[k] = ids
-        for k in np.flatnonzero(wide).tolist():
-            x = _BETWEEN.split(texts[k].as_py())
-            out[k] = b"".join(self._known(self.first, x[:1], "") + self._known(self.later, x[1:], " "))
+        # Texts in a row as lists of pieces.
         at = np.flatnonzero(~(whole | wide))
+        lists = [(at, pc.split_pattern(texts.take(pa.array(at)), " "))] if len(at) else []
+        at = np.flatnonzero(wide)
         if len(at):
-            lists = pc.split_pattern(texts.take(pa.array(at)), " ")
-            starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-            values = lists.flatten()
+            lists.append((at, pa.array([_BETWEEN.split(x) for x in texts.take(pa.array(at)).to_pylist()], pa.list_(pa.string()))))
+        for at, split in lists:
+            starts = split.offsets.to_numpy()[:-1].astype(np.int64) - split.offsets[0].as_py()
+            values = split.flatten()
             coded = values.dictionary_encode()
             index = coded.indices.to_numpy().astype(np.int64)
-            unique = coded.dictionary.to_pylist()
-            heads = values.take(pa.array(starts)).to_pylist()
-            index[starts] = len(unique) + np.arange(len(at))
-            used = np.zeros(len(unique) + len(at), dtype=bool)  # what stands only at the start of texts has no ids after a blank
-            used[index] = True
-            after = [x for x, u in zip(unique, used) if u]
-            ids = iter(self._known(self.later, after, " "))
-            table = [next(ids) if u else b"" for u in used[: len(unique)]] + self._known(self.first, heads, "")
-            sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
-            flat, begin = np.frombuffer(b"".join(table), dtype="<u4"), np.cumsum(sizes) - sizes
-            counts = sizes[index]
+            first = values.take(pa.array(starts)).dictionary_encode()
+            # What stands only at the start of texts has no ids after a blank.
+            later = np.ones(len(index), dtype=bool)
+            later[starts] = False
+            used = np.flatnonzero(np.bincount(index[later], minlength=len(coded.dictionary)))
+            place = np.zeros(len(coded.dictionary), dtype=np.int64)
+            place[used] = np.arange(len(used))
+            index = place[index]
+            index[starts] = len(used) + first.indices.to_numpy()
+            flat, begin, sizes, rows = self._pieces(first.dictionary.to_pylist(), coded.dictionary.take(pa.array(used)))
+            entries = rows[index].ravel()
+            counts = sizes[entries]
             ends = np.cumsum(counts)
-            ids_flat = flat[np.repeat(begin[index] - ends + counts, counts) + np.arange(ends[-1])]
-            stops = ends[np.append(starts[1:], len(index)) - 1]
-            data, last = ids_flat.tobytes(), 0
+            ids = flat[np.repeat(begin[entries] - ends + counts, counts) + np.arange(ends[-1])]
+            stops = ends[2 * np.append(starts[1:], len(index)) - 1]
+            data, last = ids.tobytes(), 0
             for k, stop in zip(at.tolist(), (4 * stops).tolist()):
                 out[k] = data[last:stop]
                 last = stop
@@ -261,7 +266,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     spark = docs.sparkSession
     folder = folder or workspace(spark, "tokens")
     d = documents(docs)
-    sample = d.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCUMENTS).select(F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).collect()
+    # Rows are drawn before anything moves, so that however many partitions there are, few rows and no whole text reach the driver.
+    share = min(1.0, 2 * SAMPLE_DOCUMENTS / max(1, d.count()))
+    drawn = d.select(F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"), F.rand(SEED).alias("drawn")).where(F.col("drawn") < share)
+    sample = drawn.orderBy("drawn").limit(SAMPLE_DOCUMENTS).collect()
     local = ByteEncoder(tokenizer_path)
     width = 2 if local.tokenizer.get_vocab_size() <= 1 << 16 else 4
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -292,8 +300,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                         shard = None
         if shard:
             done()
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*shards)) or [()] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "shard", "path", "documents", "ids"])
 
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = d.withColumn("same", F.xxhash64("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "same").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "same")
     manifest = written(d.select("doc_id", "text").mapInArrow(write, "part int, shard int, path string, documents long, ids long"), "manifest")
