@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,17 +32,18 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 _LONG_ACCESS, _LONG_HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 _HINT = re.compile(r"(?ai:pass(?:word|wd)|secret|token|api_?key)")
 
-_ESCAPED = re.compile(r"[^\s%\\]*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})\S*")
-_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+# "%25" stands for "%", so a chain of them is taken down to its end at once (the layers between differ in the chain's length alone).
+_URL = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_ESCAPE = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _NEXT_WORD = re.compile(r"\x20+\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A compressed layer with more bytes is scanned in blocks of so many (its document's oversize counts those), which overlap by so many.
 LAYER_BYTES, OVERLAP = 32 << 20, 1 << 20
 # Bytes as they are written: escapes, and characters that stand for themselves.
-_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\U000000([0-9A-Fa-f]{2})|\\([nrtabfv0\\'\"])|(.)", re.S)
+_BYTES = [re.compile(url + r"([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\U000000([0-9A-Fa-f]{2})|\\([nrtabfv0\\'\"])|(.)", re.S) for url in ("%", "%(?:25)*")]
 _SIMPLE = dict(zip("nrtabfv0\\'\"", b"\n\r\t\a\b\f\v\0\\'\""))
-_BINARY = re.compile(r"(?:%|\\x|\\u00|\\U000000)(?:[01][0-9A-Fa-f]|[89A-Fa-f][0-9A-Fa-f])")
+_BINARY = re.compile(r"(?:%(?:25)*|\\x|\\u00|\\U000000)(?:[01][0-9A-Fa-f]|[89A-Fa-f][0-9A-Fa-f])")
 _STREAM = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff]")
 
 
@@ -59,16 +62,25 @@ def joined(spans: list[tuple[int, int, int]] | list[tuple[int, int, int]]) -> st
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _segments(text: str) -> list[tuple[int, int]]:
-    """Words with escapes and two words on each side, across blanks only; those that touch are one.
+_WORD_END = re.compile(r"\s|\Z")
+
+
+def _segments(text: str) -> list[tuple[int, int, int]]:
+    """Words with escapes and two words on each side, across blanks only, as start, end and the end of the last word with an escape;
+    those that touch are one.
 
     A base pattern has at most two runs of blanks (around = or :) and no other white space, so one that needs a decoded word
-    lies within such a piece, and decoding pieces finds what decoding the whole text would.
+    lies within such a piece, and decoding pieces finds what decoding the whole text would. Escapes are looked for first and
+    widened then, no further back than the piece before, so that a text is read a bounded number of times.
     """
     out: list[list[int]] = []
-    for m in _ESCAPED.finditer(text):
-        a, b = m.span()
+    for m in _ESCAPE.finditer(text):
+        if out and m.start() < out[-1][2]:
+            continue
+        a, b = m.start(), _WORD_END.search(text, m.end()).start()
         floor = out[-1][1] if out else 0
+        while a > floor and not text[a - 1].isspace():
+            a -= 1
         for _ in range(2):
             k = a
             while k > floor and text[k - 1] == " ":
@@ -79,61 +91,72 @@ def _segments(text: str) -> list[tuple[int, int]]:
                 k -= 1
             a = k
         if out and a <= out[-1][1]:
-            a = out[-1][0]
-            out.pop()
+            a = out.pop()[0]
+        last = b
         for _ in range(2):
             after = _NEXT_WORD.match(text, b)
             if not after:
                 break
             b = after.end()
-        out.append([a, b])
-    return [(a, b) for a, b in out]
+        out.append([a, b, last])
+    return [(a, b, last) for a, b, last in out]
 
 
 class Layer:
-    """Text with the original span of each character: a list, or one span for all."""
+    """Text with the original span of each character (arrays lo and hi; None: it is the original), or one span for all."""
 
-    __slots__ = ("at", "text", "whole")
+    __slots__ = ("hi", "lo", "text", "whole")
 
-    def __init__(self, text: str, at: list[tuple[int, int]] | None = None, whole: tuple[int, int] | None = None):
-        self.text, self.at, self.whole = text, at, whole
+    def __init__(self, text: str, lo: np.ndarray | None = None, hi: np.ndarray | None = None, whole: tuple[int, int] | None = None):
+        self.text, self.lo, self.hi, self.whole = text, lo, hi, whole
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The original span of text[start:end], which isn't empty."""
-        return self.whole or (self.at[start][0], self.at[end - 1][1])
+        return self.whole or ((start, end) if self.lo is None else (int(self.lo[start]), int(self.hi[end - 1])))
 
 
-def _unescaped(layer: Layer, start: int, end: int, place) -> Layer:
-    """Escapes of text[start:end] decoded once; place(a, b) gives the original span."""
-    text, at = [], []
+def _unescaped(layer: Layer, start: int, end: int) -> Layer:
+    """Escapes of text[start:end] decoded once."""
+    text: list[str] = []
+    places: list[np.ndarray] = []  # first and last place in the layer of each new character
     last = start
 
     def plain(a: int, b: int) -> None:
         text.append(layer.text[a:b])
-        at.extend(place(k, k + 1) for k in range(a, b))
+        places.append(np.stack([np.arange(a, b)] * 2))
 
     for m in _ESCAPE.finditer(layer.text, start, end):
-        plain(last, m.start())
+        if m.start() > last:
+            plain(last, m.start())
         last = m.end()
+        first, final, characters = [], [], []
         if m[0][0] == "%":
-            raw, k = bytes.fromhex(m[0].replace("%", "")), m.start()
-            for c in raw.decode("utf-8", "surrogateescape"):
-                n = 3 * len(c.encode("utf-8", "surrogateescape"))
-                text.append(c if not "\ud800" <= c <= "\udfff" else "\ufffd")
-                at.append(place(k, k + n))
+            units = [(u.start() + m.start(), u.end() + m.start() - 1) for u in _URL.finditer(m[0])]
+            k = 0
+            for c in bytes(int(u[1], 16) for u in _URL.finditer(m[0])).decode("utf-8", "surrogateescape"):
+                n = len(c.encode("utf-8", "surrogateescape"))
+                characters.append(c if not "\ud800" <= c <= "\udfff" else "\ufffd")
+                first.append(units[k][0])
+                final.append(units[k + n - 1][1])
                 k += n
         else:
-            units = [(int(u[1] or u[2] or u[3], 16), u.start() + m.start(), u.end() + m.start()) for u in _UNIT.finditer(m[0])]
+            units = [(int(u[1] or u[2] or u[3], 16), u.start() + m.start(), u.end() + m.start() - 1) for u in _UNIT.finditer(m[0])]
             k = 0
             while k < len(units):
                 code, a, b = units[k]
                 if 0xD800 <= code < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][0] < 0xE000:
                     code, b, k = 0x10000 + ((code - 0xD800) << 10) + units[k + 1][0] - 0xDC00, units[k + 1][2], k + 1
-                text.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
-                at.append(place(a, b))
+                characters.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
+                first.append(a)
+                final.append(b)
                 k += 1
+        text.append("".join(characters))
+        places.append(np.array([first, final], dtype=np.int64))
     plain(last, end)
-    return Layer("".join(text), at)
+    first, final = np.concatenate(places, axis=1)
+    if layer.whole:
+        return Layer("".join(text), whole=layer.whole)
+    return Layer("".join(text), first if layer.lo is None else layer.lo[first], final + 1 if layer.hi is None else layer.hi[final])
 
 
 def _compressed(raw: bytes) -> bool:
@@ -178,10 +201,10 @@ def _inflated(raw: bytes, limit: int) -> Iterator[bytes]:
         yield held
 
 
-def _escaped_bytes(text: str, start: int, end: int) -> tuple[bytes, list[int]]:
+def _escaped_bytes(unit: re.Pattern, text: str, start: int, end: int) -> tuple[bytes, list[int]]:
     """The bytes that text[start:end] writes with escapes, and the place of each."""
     raw, at = bytearray(), []
-    for m in _BYTE.finditer(text, start, end):
+    for m in unit.finditer(text, start, end):
         code = m[1] or m[2] or m[3] or m[4]
         c = int(code, 16) if code else _SIMPLE[m[5]] if m[5] else ord(m[6])
         raw.append(c if c < 256 else 63)
@@ -189,13 +212,18 @@ def _escaped_bytes(text: str, start: int, end: int) -> tuple[bytes, list[int]]:
     return bytes(raw), at
 
 
+# What has none of these holds no secret and no layer.
+_ANY = re.compile(rb"(?i:pass(?:word|wd)|secret|token|api_?key)|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}")
+
+
 def _as_text(raw: bytes) -> str | None:
-    """raw as text, if it looks like text."""
+    """raw as text (bytes that aren't UTF-8 as Latin-1, so that ASCII stays what it is), if it can hold anything."""
+    if not _ANY.search(raw):
+        return None
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
+        return raw.decode("latin-1")
 
 
 def _unpacked(word: str) -> bytes | None:
@@ -216,11 +244,6 @@ class _Blocks:
         self.blocks, self.whole, self.taken = _inflated(raw, limit), whole, 0
 
 
-def _block_text(raw: bytes) -> str | None:
-    """A block of a long stream as text; it may start or end within a character."""
-    return _as_text(raw.decode("utf-8", "ignore").encode("utf-8"))
-
-
 def scan(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, further spans from decoded layers, and how many compressed layers were too large to be scanned in one piece."""
     base = base_spans(text)
@@ -230,13 +253,13 @@ def scan(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int, int]
 
     def new(raw: bytes, whole: tuple[int, int]) -> bool:
         # The same words elsewhere in the document give other spans, so where they are is part of what was seen.
-        key = (hashlib.sha1(raw).digest(), whole)
+        key = (hashlib.sha256(raw).digest(), whole)
         known = key in seen
         seen.add(key)
         return not known
 
     def enter(x: Layer) -> None:
-        if x.text and new(x.text.encode("utf-8", "replace"), x.whole or (x.at[0][0], x.at[-1][1])):
+        if x.text and new(x.text.encode("utf-8", "replace"), x.span(0, len(x.text))):
             for a, k, b in base_spans(x.text):
                 s, e = x.span(a, b)
                 found.add((s, k, e))
@@ -254,38 +277,46 @@ def scan(text: str, limit: int = LAYER_BYTES) -> tuple[list[tuple[int, int, int]
             work.append(layer)
             if layer.taken == 1 and _compressed(raw) and new(b"stream" + raw, layer.whole):
                 work.append(_Blocks(raw, layer.whole, limit))
-            plain = _block_text(raw) if layer.taken > 1 or len(raw) >= limit else _as_text(raw)
+            plain = _as_text(raw)
             if plain is not None:
                 enter(Layer(plain, whole=layer.whole))
             continue
-        top = layer.at is None and layer.whole is None
-        place = (lambda a, b: (a, b)) if top else layer.span
         if "%" in layer.text or "\\" in layer.text:
-            for a, b in _segments(layer.text):
-                enter(_unescaped(layer, a, b, place))
-                if _BINARY.search(layer.text, a, b):
-                    raw, at = _escaped_bytes(layer.text, a, b)
-                    last = max(m.end() for m in _ESCAPED.finditer(layer.text, a, b))
+            for a, b, last in _segments(layer.text):
+                enter(_unescaped(layer, a, b))
+                # Escaped once, or in chains.
+                for unit in _BYTES[: 1 + ("%25" in layer.text)] if _BINARY.search(layer.text, a, b) else ():
+                    raw, at = _escaped_bytes(unit, layer.text, a, b)
                     for m in _STREAM.finditer(raw):
                         k = m.start()
                         if at[k] < last and _compressed(raw[k : k + 3]) and next(_inflated(raw[k:], min(limit, 1 << 16)), None):
-                            if new(b"stream" + raw[k:], whole := place(at[k], last)):
+                            if new(b"stream" + raw[k:], whole := layer.span(at[k], last)):
                                 work.append(_Blocks(raw[k:], whole, limit))
         for m in _BASE64.finditer(layer.text):
             raw = _unpacked(m[0])
             if raw is None:
                 continue
-            whole = place(m.start(), m.end())
+            whole = layer.span(m.start(), m.end())
             if _compressed(raw) and new(b"stream" + raw, whole):
                 work.append(_Blocks(raw, whole, limit))
             plain = _as_text(raw)
             if plain is not None:
                 enter(Layer(plain, whole=whole))
-    covered = {}
+    return base, sorted(_not_covered(found.difference(base), base)), oversize
+
+
+def _not_covered(spans: set[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """The spans that no base span of their kind (they don't overlap each other) covers."""
+    by_kind: dict[int, tuple[list[int], list[int]]] = {}
     for a, k, b in base:
-        covered.setdefault(k, []).append((a, b))
-    more = [(a, k, b) for a, k, b in found.difference(base) if not any(x <= a and b <= y for x, y in covered.get(k, ()))]
-    return base, sorted(more), oversize
+        starts, ends = by_kind.setdefault(k, ([], []))
+        starts.append(a)
+        ends.append(b)
+    for a, k, b in spans:
+        starts, ends = by_kind.get(k, ([], []))
+        at = bisect.bisect_right(starts, a) - 1
+        if at < 0 or ends[at] < b:
+            yield a, k, b
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:

@@ -147,3 +147,35 @@ def test_long_streams_are_scanned_in_blocks():
     whole = ("a b " * 8_000).encode()
     assert list(s._inflated(zlib.compress(whole), len(whole))) == [whole]
     assert list(s._inflated(zlib.compress(whole)[:-9], 1 << 20)) == []
+
+
+def test_long_runs_in_linear_time():
+    import time
+
+    token = "%74oken%3Dabcdefgh"
+    texts = {
+        "letters and a percent": "a" * 1_000_000 + " %",
+        "letters and an escape": "a" * 1_000_000 + "%41 " + token,
+        "escapes far apart": ("b" * 5_000 + "%41") * 200 + " " + token,
+        "chain": "x %" + "25" * 50_000 + "74oken%3Dabcdefgh",
+        "chains": ("%" + "25" * 300 + "41 ") * 300 + token,
+        "all escaped": "%41" * 100_000 + " " + token,
+        "backslashes": "\\u0041" * 50_000 + " " + token,
+        "many secrets": "token=abcdefgh%21 " * 20_000,
+    }
+    for name, text in texts.items():
+        began = time.time()
+        base, more, _ = s.scan(text)
+        assert time.time() - began < 10, name
+        assert base == plain_base(text)
+        if name in ("letters and a percent", "many secrets"):
+            assert not more
+        else:
+            start = text.rindex("%74oken") if name != "chain" else 2
+            assert any(a <= start + 3 and b == len(text) for a, k, b in more), name
+
+
+def test_layers_that_are_not_text_are_read():
+    raw = b"\xff\xfe\x00\x01 " + TOKEN.encode() + b"\x80\x81\x82" * 40
+    text = f"lead {b64(raw)} end"
+    assert s.scan(text)[1] == [(5, 0, 5 + len(b64(raw)))]
