@@ -7,9 +7,15 @@ whole. Only runs that share a gram but differ are compared window by window:
 
 * They are dealt by gram, and each task keeps a logarithmic family of suffix arrays: a new batch of runs gets a suffix array,
   is merge-scanned against every level for matches of full length, and levels of equal size merge.
-* A gram with very many different runs is dealt by windows instead. Blocks of eight neighbouring windows are counted by hash:
+* A gram with very many different runs is dealt by windows instead. Blocks of eight neighbouring windows are counted by digest:
   a block that repeats settles all eight, a block whose common core is unique settles them too, and only the windows
   of what is left are counted one by one. Rows are linear in the bytes, and counts are combined before they move.
+
+`Index` keeps such a family of levels for batches of documents in the shared folder: a level is a table of runs in the order of
+their grams, a new batch is scanned against all levels, and levels of equal size merge.
+
+Texts are copied once, as they are read, into a table whose files are known by number. From then on only places move:
+a task that needs texts gets the places in some of the files, and reads those files itself.
 """
 
 from __future__ import annotations
@@ -17,15 +23,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fits, map_documents, written
+from .common import discard, documents, map_documents, open_filesystem, small_batches, tidy, workspace, written
 from .minhash import scatter
 
 LENGTH, GRAM = 400, 32
@@ -35,8 +42,8 @@ HOT = 2_048
 BLOCK = 8
 #: Bytes of runs in a batch of the family, and in a task.
 BATCH_BYTES, TASK_BYTES = 1 << 20, 8 << 20
-#: Rows of places (about 50 bytes each) that are broadcast to the documents at most; more are joined by a shuffle of the texts.
-BROADCAST_PLACES = 2_000_000
+#: Bytes of text in a row group of the copy, which a reader holds at once.
+GROUP_BYTES = 16 << 20
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -87,25 +94,22 @@ def runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     yield np.array(long)[of], first - begins[of], last - begins[of], anchor[new] - first, h[anchor[new]], data, first, last
 
 
-def run_table(docs: DataFrame, length: int) -> DataFrame:
-    """id, same, s0, s1, rel, gram, digest: the runs of docs (id, same, text)."""
+def run_table(texts: DataFrame, length: int) -> DataFrame:
+    """row, s0, s1, rel, gram, digest: the runs of texts (row, text)."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for of, s0, s1, rel, gram, data, first, last in runs(texts, length):
+            for of, s0, s1, rel, gram, data, first, last in runs(batch.column("text").cast(pa.binary()).to_pylist(), length):
                 raw = data.tobytes()
                 digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())]
-                keys = batch.select(["id", "same"]).take(pa.array(of))
-                out = pa.RecordBatch.from_arrays(
-                    [*keys.columns, pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(rel, pa.int32()), pa.array(gram.astype(np.int64)), pa.array(digests, pa.binary())], ["id", "same", "s0", "s1", "rel", "gram", "digest"]
-                )
+                columns = [batch.column("row").take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (s0, s1, rel)), pa.array(gram.astype(np.int64)), pa.array(digests, pa.binary())]
+                out = pa.RecordBatch.from_arrays(columns, ["row", "s0", "s1", "rel", "gram", "digest"])
                 for at in range(0, out.num_rows, 100_000):
                     yield out.slice(at, 100_000)
 
         return kernel
 
-    return map_documents(docs, make, "id long, same long, s0 long, s1 long, rel int, gram long, digest binary")
+    return map_documents(texts, make, "row long, s0 int, s1 int, rel int, gram long, digest binary")
 
 
 def _ranks(high: np.ndarray, low: np.ndarray | None) -> np.ndarray:
@@ -234,7 +238,7 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def family_spans(contents: DataFrame, length: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """gram, digest, lo, hi: repeated bytes of contents (gram, digest, content), all of a gram in one partition."""
+    """row, lo, hi: repeated bytes of the single runs among contents (row, s0, copies, content), all of a gram in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, keys, places, waiting = Family(length), [], [], []
@@ -245,7 +249,7 @@ def family_spans(contents: DataFrame, length: int, batch_bytes: int = BATCH_BYTE
 
         held = 0
         for batch in batches:
-            keys.append(batch.select(["gram", "digest"]))
+            keys.append(batch.select(["row", "s0", "copies"]))
             for c in batch.column("content").to_pylist():
                 if waiting and held + len(c) > batch_bytes:
                     flush()
@@ -256,112 +260,215 @@ def family_spans(contents: DataFrame, length: int, batch_bytes: int = BATCH_BYTE
             flush()
         at = 0
         for k in keys:
-            rows = [(j, lo, hi) for j in range(k.num_rows) for lo, hi in family.spans(*places[at + j])]
+            rows = [(row, s0 + lo, s0 + hi) for (row, s0, copies), place in zip(zip(*(c.to_pylist() for c in k.columns)), places[at:]) if copies == 1 for lo, hi in family.spans(*place)]
             at += k.num_rows
             if rows:
-                of, lo, hi = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*k.take(pa.array(of)).columns, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["gram", "digest", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32()))], ["row", "lo", "hi"])
+        del family, keys, places
+        tidy()
+
+    return contents.mapInArrow(run, "row long, lo int, hi int")
+
 
-    return contents.mapInArrow(run, "gram long, digest binary, lo long, hi long")
+_RUN = ["gram", "row", "s0", "rel", "copies"]
+_RUN_SCHEMA = "gram long, row long, s0 int, rel int, copies long"
 
 
 def _blocks(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """For each run and block of windows (by distance to the anchor): hash of the bytes that all its windows share, and of all their bytes."""
+    """For each run and block of windows (by distance to the anchor): digest of the bytes that all its windows share, and of all their bytes."""
     rows = []
     for k, (content, rel) in enumerate(zip(batch.column("content").to_pylist(), batch.column("rel").to_pylist())):
         nearest = rel - (len(content) - length)  # distance of the last window to the anchor
         for g in range(nearest // BLOCK, rel // BLOCK + 1):
-            core = xxhash.xxh3_64_intdigest(content[rel - g * BLOCK : rel - g * BLOCK - BLOCK + 1 + length])
+            core = xxhash.xxh3_128_digest(content[max(0, rel - g * BLOCK) : max(0, rel - g * BLOCK - BLOCK + 1 + length)])
             whole = nearest <= g * BLOCK and g * BLOCK + BLOCK - 1 <= rel
-            all_ = xxhash.xxh3_64_intdigest(content[rel - g * BLOCK - BLOCK + 1 : rel - g * BLOCK + length]) if whole else None
-            rows.append((k, g, core - (1 << 63), None if all_ is None else all_ - (1 << 63)))
+            rows.append((k, g, core, xxhash.xxh3_128_digest(content[rel - g * BLOCK - BLOCK + 1 : rel - g * BLOCK + length]) if whole else None))
     of, g, core, all_ = zip(*rows)
-    return pa.RecordBatch.from_arrays([*batch.select(["gram", "digest", "rel"]).take(pa.array(of)).columns, pa.array(g, pa.int32()), pa.array(core, pa.int64()), pa.array(all_, pa.int64())], ["gram", "digest", "rel", "block", "core", "whole"])
+    return pa.RecordBatch.from_arrays([*batch.select(_RUN).take(pa.array(of)).columns, pa.array(g, pa.int32()), pa.array(core, pa.binary()), pa.array(all_, pa.binary())], [*_RUN, "block", "core", "whole"])
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
-    """For each run the windows of its listed blocks: distance to the anchor, and hash."""
+    """For each run the windows of its listed blocks: distance to the anchor, and digest."""
     rows = []
     for k, (content, rel, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("content", "rel", "blocks")))):
         for g in blocks:
             for t in range(max(g * BLOCK, rel - (len(content) - length)), min(g * BLOCK + BLOCK - 1, rel) + 1):
-                rows.append((k, t, xxhash.xxh3_64_intdigest(content[rel - t : rel - t + length]) - (1 << 63)))
+                rows.append((k, t, xxhash.xxh3_128_digest(content[rel - t : rel - t + length])))
     if not rows:
         return None
     of, t, h = zip(*rows)
-    return pa.RecordBatch.from_arrays([*batch.select(["gram", "digest", "rel"]).take(pa.array(of)).columns, pa.array(t, pa.int32()), pa.array(h, pa.int64())], ["gram", "digest", "rel", "distance", "hash"])
+    return pa.RecordBatch.from_arrays([*batch.select(_RUN).take(pa.array(of)).columns, pa.array(t, pa.int32()), pa.array(h, pa.binary())], [*_RUN, "distance", "digest"])
 
 
 def hot_spans(contents: DataFrame, length: int) -> DataFrame:
-    """The same as family_spans for grams with very many runs (gram, digest, rel, content), dealt by hash of blocks and windows."""
-    blocks = written(map_documents(contents, lambda: lambda b: _blocks(b, length), "gram long, digest binary, rel int, block int, core long, whole long", column="content"), "blocks")
-    twice = lambda df, *by: df.groupBy(*by).count().where("count > 1").drop("count")
-    settled = blocks.join(twice(blocks.where("whole IS NOT NULL"), "gram", "block", "whole"), ["gram", "block", "whole"], "left_semi")
-    spans = settled.select("gram", "digest", (F.col("rel") - F.col("block") * BLOCK - (BLOCK - 1)).cast("long").alias("lo"), (F.col("rel") - F.col("block") * BLOCK + length).cast("long").alias("hi"))
-    left = blocks.join(settled.select("gram", "digest", "block"), ["gram", "digest", "block"], "left_anti")
-    left = left.join(twice(blocks, "gram", "block", "core"), ["gram", "block", "core"], "left_semi")
+    """The same as family_spans for grams with very many runs (gram, row, s0, rel, copies, content), dealt by digests of blocks and windows."""
+    blocks = written(map_documents(contents, lambda: lambda b: _blocks(b, length), f"{_RUN_SCHEMA}, block int, core binary, whole binary", column="content"), "blocks")
+    twice = lambda df, *by: written(df.groupBy(*by).count().where("count > 1").drop("count"), "twice")
+    settled = written(blocks.join(twice(blocks.where("whole IS NOT NULL"), "gram", "block", "whole"), ["gram", "block", "whole"], "left_semi"), "settled")
+    at = lambda less, more: (F.col("s0") + F.col("rel") - less + more).cast("int")
+    spans = settled.where("copies = 1").select("row", at(F.col("block") * BLOCK + BLOCK - 1, 0).alias("lo"), at(F.col("block") * BLOCK, length).alias("hi"))
+    cores = twice(blocks, "gram", "block", "core")
+    left = blocks.join(settled.select("row", "s0", "block"), ["row", "s0", "block"], "left_anti").join(cores, ["gram", "block", "core"], "left_semi")
     # A window in question may equal one that its own block has settled, so both sides' blocks with that core are counted.
-    cores = twice(blocks, "gram", "block", "core").join(left.select("gram", "block", "core").distinct(), ["gram", "block", "core"])
-    asked = blocks.join(cores, ["gram", "block", "core"], "left_semi")
-    listed = contents.join(asked.groupBy("gram", "digest").agg(F.collect_list("block").alias("blocks")), ["gram", "digest"])
-    windows = written(map_documents(listed, lambda: lambda b: _windows(b, length), "gram long, digest binary, rel int, distance int, hash long", column="content"), "windows")
-    found = windows.join(twice(windows, "gram", "distance", "hash"), ["gram", "distance", "hash"], "left_semi")
-    return spans.union(found.select("gram", "digest", (F.col("rel") - F.col("distance")).cast("long"), (F.col("rel") - F.col("distance") + length).cast("long")))
+    asked = blocks.join(written(left.select("gram", "block", "core").distinct(), "asked"), ["gram", "block", "core"], "left_semi")
+    listed = contents.join(asked.groupBy("row", "s0").agg(F.collect_list("block").alias("blocks")), ["row", "s0"])
+    windows = written(map_documents(listed, lambda: lambda b: _windows(b, length), f"{_RUN_SCHEMA}, distance int, digest binary", column="content"), "windows")
+    found = windows.join(twice(windows, "gram", "distance", "digest"), ["gram", "distance", "digest"], "left_semi").where("copies = 1")
+    return spans.union(found.select("row", at(F.col("distance"), 0), at(F.col("distance"), length)))
 
 
-def contents_of(docs: DataFrame, wanted: DataFrame, length: int, broadcast: int) -> DataFrame:
-    """gram, digest, rel, content of the wanted runs (id, same, s0, s1, rel, gram, digest), cut from docs (id, same, text)."""
-    small = fits(wanted, broadcast)
-    listed = wanted.groupBy("id", "same").agg(F.collect_list(F.struct("s0", "s1", "rel", "gram", "digest")).alias("runs"))
-    joined = docs.join(F.broadcast(listed) if small else listed, ["id", "same"])
+def with_texts(files: DataFrame, rows: DataFrame, make: Callable[[], Callable], schema: str, every: bool) -> DataFrame:
+    """Brings places to the texts: files has part and path, rows has row and more columns; the row's upper bits are its part.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make() gives a kernel for (doc_id, text in bytes, list of the text's rows), called for each text in turn (without every: for those
+    that have rows), which returns rows of schema and their size in bytes. Only rows move; texts are read from the files by the task that has their places.
+    """
+    spark = rows.sparkSession
+    payload = [c for c in rows.columns if c != "row"]
+    part = F.shiftright("row", 33).cast("int").alias("part")
+    # Each part's paths come before its rows.
+    marks = files.select("part", F.lit(-1).cast("long").alias("row"), "path", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in payload))
+    dealt = marks.unionByName(rows.select(part, "row", F.lit(None).cast("string").alias("path"), *payload))
+    # Rows are dealt by number, so parts are spread evenly.
+    dealt = dealt.repartitionById(max(1, files.agg(F.max("part")).first()[0] + 1), "part").sortWithinPartitions("part", "row", "path")
+    names, kinds = zip(*(x.rsplit(" ", 1) for x in schema.split(", ")))
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
+
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows, held = [], 0
-            for text, wanted_runs in zip(batch.column("text").cast(pa.binary()), batch.column("runs")):
-                raw = text.as_py()
-                for r in wanted_runs.as_py():
-                    content = raw[r["s0"] : r["s1"] + length]
-                    rows.append((r["gram"], r["digest"], r["rel"], content))
-                    held += len(content)
-                    if held > 4 << 20:
-                        yield as_batch(rows)
-                        rows, held = [], 0
-            if rows:
-                yield as_batch(rows)
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["gram", "digest", "rel", "content"])
-
-    return joined.select("text", "runs").mapInArrow(cut, "gram long, digest binary, rel int, content binary")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, broadcast: int = BROADCAST_PLACES) -> DataFrame:
-    """id, same, spans (array of lo, hi in bytes, unsorted, may overlap) of the rows of docs (id, same, text) that have repeats."""
-    r = written(run_table(docs, length), "runs")
-    twice = r.groupBy("gram").count().where("count > 1").select("gram")
-    shared = written(r.join(twice, "gram", "left_semi"), "shared")
-    kinds = written(shared.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "same", "s0", "s1", "rel")).alias("first")), "kinds")
-    # Equal runs repeat as a whole.
-    whole = shared.join(kinds.where("copies > 1").select("gram", "digest"), ["gram", "digest"], "left_semi").select("id", "same", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
-    per_gram = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    differing = written(kinds.join(per_gram, "gram").select("gram", "digest", "copies", "kinds", "first.*"), "differing")
-    contents = written(contents_of(docs, differing.drop("copies", "kinds"), length, broadcast).join(per_gram, "gram"), "contents")
-    size = contents.where(F.col("kinds") <= hot).agg(F.sum(F.length("content"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
-    found = family_spans(contents.where(F.col("kinds") <= hot).select("gram", "digest", "content").repartition(parts, "gram"), length)
-    very = contents.where(F.col("kinds") > hot).select("gram", "digest", "rel", "content")
-    if not very.isEmpty():
-        found = found.union(hot_spans(very, length))
-    # What has equals is removed whole already; of the rest each kind is one run.
-    single = differing.where("copies = 1").select("gram", "digest", "id", "same", "s0")
-    part = found.join(single, ["gram", "digest"]).select("id", "same", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi"))
-    return whole.union(part).groupBy("id", "same").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-
-
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    d = documents(docs, *more)
-    return d.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("same", F.xxhash64("text"))
+            yield from zip(*(batch.column(c).to_pylist() for c in ("part", "row", "path", *payload)))
+
+    def texts(paths: list[str]) -> Iterator[tuple]:
+        import pyarrow.parquet as pq
+
+        for path in paths:
+            fs, name = open_filesystem(path)
+            with fs.open_input_file(name) as f:
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=256, columns=["row", "doc_id", "text"]):
+                    yield from zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, out, held = make(), [], 0
+        as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], list(names))
+        for _, some in groupby(events(batches), key=lambda e: e[0]):
+            paths, event = [], next(some, None)
+            while event and event[1] == -1:
+                paths.append(event[2])
+                event = next(some, None)
+            for row, doc_id, text in texts(paths):
+                own = []
+                while event and event[1] == row:
+                    own.append(event[3:])
+                    event = next(some, None)
+                if own or every:
+                    made, size = kernel(doc_id, text.encode("utf-8"), own)
+                    out += made
+                    held += size
+                    if held > 4 << 20 or len(out) >= 50_000:
+                        yield as_batch()
+                        out, held = [], 0
+                if event is None and not every:
+                    break
+            if event:
+                raise RuntimeError(f"no text for row {event[1]}")
+        if out:
+            yield as_batch()
+        del kernel, out
+        tidy()
+
+    small_batches(spark)
+    return dealt.mapInArrow(run, schema)
+
+
+class Index:
+    """A family of levels over batches of documents, in the shared folder; what is found is spans (row, lo, hi) of any batch's rows.
+
+    A level is a table of runs by bytes (gram, digest, copies, and where the first one is) in the order of the grams, dealt by gram. A new
+    batch is scanned against all levels, becomes a level itself, and levels of as many batches merge.
+    """
+
+    def __init__(self, spark: SparkSession, length: int = LENGTH, hot: int = HOT):
+        self.spark, self.length, self.hot = spark, length, hot
+        self.files: DataFrame | None = None  # part, path
+        self.parts = 0
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def copied(self, docs: DataFrame) -> DataFrame:
+        """row, doc_id, text: the batch as a table whose files are known by part; row is unique over all batches."""
+        path = workspace(self.spark, "texts")
+        d = documents(docs).withColumn("row", F.monotonically_increasing_id() + F.lit(self.parts << 33))
+        d.select("row", "doc_id", "text").write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
+        copy = self.spark.read.schema("row long, doc_id long, text string").parquet(path)
+        files = written(copy.select(F.shiftright("row", 33).cast("int").alias("part"), F.col("_metadata.file_path").alias("path")).distinct(), "files")
+        self.files = files if self.files is None else self.files.union(files)
+        self.parts = (files.agg(F.max("part")).first()[0] or 0) + 1
+        return copy
+
+    def contents(self, wanted: DataFrame) -> DataFrame:
+        """gram, row, s0, rel, copies, kinds, content of the wanted runs (row, s0, s1, rel, gram, copies, kinds)."""
+        length = self.length
+
+        def cut(_: int | None, raw: bytes, runs: list[tuple]) -> tuple[list[tuple], int]:
+            out = [(gram, row, s0, rel, copies, kinds, raw[s0 : s1 + length]) for row, s0, s1, rel, gram, copies, kinds in runs]
+            return out, sum(len(x[-1]) for x in out)
+
+        rows = wanted.select("row", F.col("row").alias("of"), "s0", "s1", "rel", "gram", "copies", "kinds")
+        return with_texts(self.files, rows, lambda: cut, f"{_RUN_SCHEMA}, kinds long, content binary", every=False)
+
+    def add(self, texts: DataFrame, keep: bool = True) -> DataFrame:
+        """Spans (row, lo, hi; may overlap or come again) that repeat now that texts (copied before) are there; keep: scan later batches against it too."""
+        length = self.length
+        r = written(run_table(texts.select("row", "text"), length), "runs")
+        grams = written(r.groupBy("gram").count(), "grams")
+        wanted = grams.where("count > 1").select("gram")
+        old = None
+        if self.levels:
+            level = self.levels[0][1]
+            for _, more in self.levels[1:]:
+                level = level.union(more)
+            old = written(level.join(grams.select("gram"), "gram", "left_semi"), "old")
+            wanted = wanted.union(old.select("gram")).distinct()
+        shared = written(r.join(written(wanted, "twice"), "gram", "left_semi"), "shared")
+        found = shared.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "s0", "s1", "rel")).alias("first"))
+        if old is not None:
+            found = merged_runs(found.union(old))
+        kinds = written(found, "kinds")
+        again = written(kinds.where("copies > 1").select("gram", "digest"), "again")
+        # Equal runs repeat as a whole.
+        span = lambda df: df.select("row", F.col("s0").alias("lo"), (F.col("s1") + length).cast("int").alias("hi"))
+        spans = span(shared.join(again, ["gram", "digest"], "left_semi"))
+        if old is not None:
+            spans = spans.union(span(old.join(again, ["gram", "digest"], "left_semi").select("first.*")))
+        per_gram = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "per-gram")
+        differing = kinds.join(per_gram, "gram").select("gram", "copies", "kinds", "first.*")
+        contents = written(self.contents(differing), "contents")
+        few = contents.where(F.col("kinds") <= self.hot)
+        size = few.agg(F.sum(F.length("content"))).first()[0] or 0
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+        spans = spans.union(family_spans(few.select("gram", "row", "s0", "copies", "content").repartition(parts, "gram"), length))
+        very = contents.where(F.col("kinds") > self.hot).drop("kinds")
+        if not very.isEmpty():
+            spans = spans.union(hot_spans(very, length))
+        if keep:
+            self._keep(r.groupBy("gram", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "s0", "s1", "rel")).alias("first")))
+        out = written(spans, "spans")
+        for t in (r, grams, shared, kinds, contents):
+            discard(t)
+        return out
+
+    def _keep(self, level: DataFrame) -> None:
+        ordered = lambda df: written(df.repartition("gram").sortWithinPartitions("gram", "digest"), "level")
+        self.levels.append((1, ordered(level)))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
+            self.levels.append((n + m, ordered(merged_runs(a.union(b)))))
+            discard(a)
+            discard(b)
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """gram, digest, copies, first of several tables of them."""
+    return runs.groupBy("gram", "digest").agg(F.sum("copies").alias("copies"), F.min("first").alias("first"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -374,38 +481,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, broadcast: int = BROADCAST_PLACES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of each row of docs (doc_id, text).
+def removed(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every text of files, less its spans (row, lo, hi)."""
 
-    Rows are judged on the input. A null or empty text has no bytes; texts shorter than length lose nothing; repeated rows
-    repeat each other's bytes, so long ones lose all; null ids are kept; other columns are ignored.
-    """
-    d = keyed(docs)
-    spans = written(repeated_spans(d.select("id", "same", "text"), length, hot, broadcast), "spans")
-    small = fits(spans.select(F.explode("spans")), broadcast)
-    joined = d.join(F.broadcast(spans) if small else spans, ["id", "same"], "left").select("doc_id", "text", "spans")
+    def cut(doc_id: int | None, raw: bytes, found: list[tuple]) -> tuple[list[tuple], int]:
+        gone = merged(found)
+        ends = [0, *(hi for _, hi in gone)]
+        kept = b"".join(raw[a:b] for a, b in zip(ends, [*(lo for lo, _ in gone), len(raw)]))
+        return [(doc_id, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept)], len(kept)
+
+    return with_texts(files, spans, lambda: cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", every=True)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, held = [], 0
-            for doc_id, text, found in zip(*(batch.column(c) for c in ("doc_id", "text", "spans"))):
-                raw = text.as_py().encode("utf-8")
-                cut = merged([(s["lo"], s["hi"]) for s in found.as_py() or ()])
-                ends = [0, *(hi for _, hi in cut)]
-                kept = b"".join(raw[a:b] for a, b in zip(ends, [*(lo for lo, _ in cut), len(raw)]))
-                rows.append((doc_id.as_py(), len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
-                held += len(kept)
-                if held > 8 << 20:
-                    yield as_batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield as_batch(rows)
 
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), has_repeat (whether bytes were removed) of each row of docs (doc_id, text).
 
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    Rows are judged on the input. A null or empty text has no bytes; texts shorter than length lose nothing; repeated rows
+    repeat each other's bytes, so long ones lose all; null ids are kept; other columns are ignored.
+    """
+    index = Index(docs.sparkSession, length, hot)
+    texts = index.copied(docs)
+    if texts.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, has_repeat boolean")
+    return removed(index.files, index.add(texts, keep=False)).withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def brute_force(texts: list[str | None], length: int) -> pd.DataFrame:

@@ -26,11 +26,11 @@ def texts(seed, n=120):
     return out + out[10:20] + [out[30] + "!" + out[30], "long " + passage(12_000)]
 
 
-@pytest.mark.parametrize(("hot", "broadcast"), [(s.HOT, s.BROADCAST_PLACES), (1, 0), (4, 0)])
-def test_by_brute_force(spark, hot, broadcast):
+@pytest.mark.parametrize("hot", [s.HOT, 1, 4])
+def test_by_brute_force(spark, hot):
     t = texts(hot)
     docs = spark.createDataFrame([(k, x, "clash", "clash") for k, x in enumerate(t)], "doc_id long, text string, id string, same string")
-    got = s.without_repeats(docs, 64, hot, broadcast).toPandas().sort_values("doc_id").reset_index(drop=True)
+    got = s.without_repeats(docs, 64, hot).toPandas().sort_values("doc_id").reset_index(drop=True)
     want = s.brute_force(t, 64)
     assert want["n_removed"].sum() > 1_000
     assert (got[KEYS].values.tolist()) == want[KEYS].values.tolist()
@@ -64,3 +64,19 @@ def test_family_finds_repeats_whatever_the_batches():
             for _, level in f.levels:
                 windows = [f.data[p : p + length].tobytes() for p in level]
                 assert windows == sorted(windows)
+
+
+@pytest.mark.parametrize("hot", [s.HOT, 1])
+def test_batches_against_levels(spark, hot):
+    # Each prefix of the batches is what one table of them would give, for rows of all batches.
+    t = texts(11, 100)
+    random.Random(4).shuffle(t)
+    cuts, index, spans = [0, 20, 45, 60, 61, len(t)], s.Index(spark, 64, hot), None
+    for a, b in zip(cuts, cuts[1:]):
+        new = index.add(index.copied(spark.createDataFrame([(k, t[k]) for k in range(a, b)], "doc_id long, text string").repartition(2)))
+        spans = new if spans is None else spans.union(new)
+        got = s.removed(index.files, spans).toPandas().sort_values("doc_id").reset_index(drop=True)
+        assert got[KEYS].values.tolist() == s.brute_force(t[:b], 64)[KEYS].values.tolist()
+    assert [n for n, _ in index.levels] == [4, 1]
+    level = index.levels[0][1]
+    assert level.groupBy("gram", "digest").count().where("count > 1").isEmpty() and level.agg({"copies": "sum"}).first()[0] > level.count()
