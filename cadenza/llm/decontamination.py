@@ -3,7 +3,9 @@
 Words lose case and outer punctuation. In a template, numbers, names (capitalised words within a sentence) and units become
 typed placeholders. Windows of five words are hashed as they are and as templates (a template goes on until it has three
 literal words; where a capitalised word opens a sentence there is a second one, with it as a name); documents keep the
-windows that a bitmap of fixed size lets through, and these are hash-joined with the benchmark's. For each document and item
+windows that a bitmap of fixed size lets through, and these are hash-joined with the benchmark's. An item takes several matches,
+m at least, so its m - 1 most common windows make no candidates: any text that has m of its windows has one of the others. They are
+looked up for candidates only, and so phrases that many items share don't bring all of these together with all texts. For each document and item
 the windows then have to tell one story: a slot of the item has one value in the document, of its type, a name of the item
 is one name in the document, and different names are different ones.
 """
@@ -18,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fits, map_documents, written
@@ -184,8 +186,8 @@ class Windows:
                 yield d, h, place, kind is not None, slots, bool(self.usable[k]), int(self.counts[d]), int(self.usable_counts[d])
 
 
-def document_windows(docs: DataFrame, bitmap: bytes, id_name: str = "doc_id") -> DataFrame:
-    """id, hash, place, template, slots, usable of windows whose hash the bitmap has (an empty one: of all windows), and n and n_usable, the text's windows."""
+def document_windows(docs: DataFrame, bitmap: bytes, *ids: str) -> DataFrame:
+    """ids, hash, place, template, slots, usable of windows whose hash the bitmap has (an empty one: of all windows), and n and n_usable, the text's windows."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         words = Words()
@@ -194,24 +196,26 @@ def document_windows(docs: DataFrame, bitmap: bytes, id_name: str = "doc_id") ->
         def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             w = Windows(words, batch.column("text"))
             there = (lambda h: bits[(h >> np.uint64(64 - BITS)).astype(np.int64)]) if bits is not None else (lambda h: np.ones(len(h), dtype=bool))
-            ids = batch.column(id_name).to_pylist()
             out: list[tuple] = []
-            for d, *rest in w.rows(there):
-                out.append((ids[d], *rest))
+            for row in w.rows(there):
+                out.append(row)
                 if len(out) >= 50_000:
-                    yield _batch(out, id_name)
+                    yield as_batch(batch, out)
                     out = []
             if out:
-                yield _batch(out, id_name)
+                yield as_batch(batch, out)
 
         return kernel
 
-    return map_documents(docs, make, f"{id_name} long, hash long, place long, template boolean, slots array<string>, usable boolean, n long, n_usable long")
+    def as_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        of, *columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in ids), *(pa.array(c, t) for c, t in zip(columns, _KINDS))], [*ids, *_NAMES])
 
+    return map_documents(docs, make, ", ".join(f"{c} long" for c in ids) + ", hash long, place long, template boolean, slots array<string>, usable boolean, n long, n_usable long")
 
-def _batch(rows: list[tuple], id_name: str) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.bool_(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [id_name, "hash", "place", "template", "slots", "usable", "n", "n_usable"])
+
+_NAMES = ["hash", "place", "template", "slots", "usable", "n", "n_usable"]
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.bool_(), pa.int64(), pa.int64()]
 
 
 def story(item: list[tuple[int, bool, list[str], bool]], document: list[tuple[int, bool, list[str], bool]], n: int, n_usable: int) -> tuple[float, bool]:
@@ -258,35 +262,61 @@ def story(item: list[tuple[int, bool, list[str], bool]], document: list[tuple[in
     return share, len(exact) >= COVERED * n or longest >= IN_A_ROW or share >= COVERED_OTHER or other
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items, items, share for each row of docs (doc_id, text); benchmark has item_id and text.
+def least_matches(n: Column, usable: Column) -> Column:
+    """The fewest places of an item, of n and usable, with which `story` can be satisfied."""
+    other = F.greatest(F.ceil(COVERED_OTHER * usable), F.least(n, F.lit(LEAST_OTHER)))
+    return F.greatest(F.least(F.ceil(COVERED * n), F.lit(IN_A_ROW - WINDOW + 1), F.ceil(COVERED_OTHER * n), other), F.lit(1)).cast("int")
 
-    items are the ids of the items found, sorted; share is the largest share of an item's windows that the text has. Null or
-    empty texts have no windows and no items; so have items of fewer than five words, which are no passage. Rows that
-    repeat an id (a null one too) are judged together. Other columns are ignored.
-    """
-    d = documents(docs)
+
+def candidate_windows(wanted: DataFrame) -> DataFrame:
+    """hash, template, item_id of the windows that make candidates: all but those at an item's most common places, as many as may be missed."""
+    common = wanted.groupBy("hash", "template").agg(F.countDistinct("item_id").alias("items"))
+    places = wanted.join(common, ["hash", "template"]).groupBy("item_id", "place").agg(F.max("items").alias("items"), F.max("n").alias("n"), F.max("n_usable").alias("n_usable"))
+    # One item's places: an item is one passage.
+    order = Window.partitionBy("item_id").orderBy(F.col("items").desc(), "place")
+    kept = places.withColumn("rank", F.row_number().over(order)).where(F.col("rank") >= least_matches(F.col("n"), F.col("n_usable")))
+    return wanted.join(kept.select("item_id", "place"), ["item_id", "place"], "left_semi").select("hash", "template", "item_id").distinct()
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and id and same, which tell rows apart that share an id (null too)."""
+    return documents(docs).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("same", F.xxhash64("text"))
+
+
+def found_items(d: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """id, same, items, share of the texts of d (keyed) that share a window with a candidate item; items are the sorted ids of items found."""
     b = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     wanted = written(document_windows(b, b"", "item_id"), "windows")
     # The bitmap is built from distinct slots of it, so what comes to the driver is bounded by its fixed size.
     slots = wanted.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct()
     bitmap = np.zeros(1 << BITS, dtype=bool)
     bitmap[slots.toPandas()["bit"].to_numpy(dtype=np.int64)] = True
-    found = document_windows(d, np.packbits(bitmap).tobytes())
+    found = written(document_windows(d.select("id", "same", "text"), np.packbits(bitmap).tobytes(), "id", "same"), "found")
+    bounded = lambda df: F.broadcast(df) if fits(df, BROADCAST_WINDOWS) else df
+    pairs = written(found.select("id", "same", "hash", "template").join(bounded(written(candidate_windows(wanted), "keys")), ["hash", "template"]).select("id", "same", "item_id").distinct(), "pairs")
     right = wanted.select("hash", "template", "item_id", F.struct("place", "template", "slots", "usable").alias("in_item"), F.col("n").alias("of"), F.col("n_usable").alias("of_usable"))
-    left = found.select("doc_id", "hash", "template", F.struct("place", "template", "slots", "usable").alias("in_document"))
-    hits = left.join(F.broadcast(right) if fits(right, BROADCAST_WINDOWS) else right, ["hash", "template"])
-    grouped = hits.groupBy("doc_id", "item_id").agg(F.max("of").alias("n"), F.max("of_usable").alias("n_usable"), F.collect_list(F.struct("in_item", "in_document")).alias("hits"))
+    left = found.select("id", "same", "hash", "template", F.struct("place", "template", "slots", "usable").alias("in_document"))
+    hits = pairs.join(bounded(right), "item_id").join(left, ["id", "same", "hash", "template"])
+    grouped = hits.groupBy("id", "same", "item_id").agg(F.max("of").alias("n"), F.max("of_usable").alias("n_usable"), F.collect_list(F.struct("in_item", "in_document")).alias("hits"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         as_match = lambda x: (x["place"], x["template"], list(x["slots"]), x["usable"])
         for f in frames:
             told = [story([as_match(h["in_item"]) for h in hs], [as_match(h["in_document"]) for h in hs], n, m) for hs, n, m in zip(f["hits"], f["n"], f["n_usable"])]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "item_id": f["item_id"], "share": [s for s, _ in told], "leak": [x for _, x in told]})
+            yield pd.DataFrame({"id": f["id"], "same": f["same"], "item_id": f["item_id"], "share": [s for s, _ in told], "leak": [x for _, x in told]})
+
+    judged = grouped.mapInPandas(judge, "id long, same long, item_id long, share double, leak boolean")
+    return judged.groupBy("id", "same").agg(F.sort_array(F.collect_set(F.when(F.col("leak"), F.col("item_id")))).alias("items"), F.max("share").alias("share"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, contaminated, n_items, items, share for each row of docs (doc_id, text); benchmark has item_id and text.
 
-    judged = grouped.mapInPandas(judge, "doc_id long, item_id long, share double, leak boolean")
-    of_doc = judged.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.when(F.col("leak"), F.col("item_id")))).alias("items"), F.max("share").alias("share"))
-    of_doc = of_doc.withColumnRenamed("doc_id", "_of")
-    out = d.select("doc_id").join(of_doc, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    items are the ids of the items found, sorted; share is the largest share of a candidate item's windows that the text has. Null or
+    empty texts have no windows and no items; so have items of fewer than five words, which are no passage. Rows that
+    share an id (a null one too) are judged each by their own text. Other columns are ignored.
+    """
+    d = keyed(docs)
+    out = d.select("doc_id", "id", "same").join(found_items(d, benchmark), ["id", "same"], "left")
     items = F.coalesce("items", F.array().cast("array<long>"))
     return out.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.coalesce("share", F.lit(0.0)).alias("share"))

@@ -131,7 +131,7 @@ def digest(s: np.ndarray) -> bytes | None:
 
 
 def signed(docs: DataFrame, size: int, bands: int, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest (null without words), n, bands of each row of docs (doc_id, text)."""
+    """doc_id, same, digest (null without words), n, bands of each row of docs (doc_id, same, text)."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         known = _WordHashes()
@@ -145,12 +145,12 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int = ROWS) -> DataFram
                 for k, h in zip(full, found):
                     hashes[k] = h
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(digest, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "bands"]
+                [batch.column("doc_id"), batch.column("same"), pa.array(map(digest, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "same", "digest", "n", "bands"]
             )
 
         return kernel
 
-    return map_documents(docs, make, "doc_id long, digest binary, n long, bands array<long>")
+    return map_documents(docs, make, "doc_id long, same long, digest binary, n long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -226,7 +226,7 @@ def settled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, missed: float = MISSED) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, kept, text_hash for each row of docs (doc_id, text; other columns are ignored).
 
     Documents are linked if their sets share percent of their union or more. component_id is the smallest id of what links
     reach; kept is whether that is the row's own. A null or empty text, or one without words, links with nothing and is
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     """
     bands = bands_for(percent / 100, rows, missed)
     d = documents(docs)
-    s = written(signed(d, size, bands, rows), "signatures")
+    s = written(signed(d.withColumn("same", F.xxhash64("text")), size, bands, rows), "signatures")
     classes = written(s.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     # Buckets with two classes or more, and the classes in them.
     rows_of = classes.select(F.explode("bands").alias("bucket"), "digest", "n")
@@ -270,9 +270,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         of_class = grouped.join(least, "label").select("digest", "component_id")
     else:
         of_class = of_class.withColumnRenamed("rep", "component_id")
-    out = s.select("doc_id", "digest", "n").join(of_class, "digest", "left")
+    out = s.select("doc_id", "same", "digest", "n").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("same").alias("text_hash"))
 
 
 def brute_force(texts: dict[int, str | None], size: int, percent: int) -> dict[int, tuple[int, int, bool]]:

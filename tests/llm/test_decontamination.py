@@ -75,3 +75,63 @@ def test_dense_templates_do_not_leave_the_text():
     for k, mine in enumerate(alone):
         assert sorted(r[1:] for r in rows if r[0] == k) == sorted(r[1:] for r in mine)
     assert not any(r[3] for r in alone[0]) and any(r[3] for r in alone[2])
+
+
+def brute_force(texts, items):
+    """Items found in each text, over all pairs: every window of one against every window of the other."""
+    import pyarrow as pa
+
+    rows = lambda t: [(h, template, (place, template, slots, usable), n, m) for _, h, place, template, slots, usable, n, m in d.Windows(d.Words(), pa.array([t])).rows(lambda h: h != 0)]
+    of_items = {i: rows(t) for i, t in items.items()}
+    out = {}
+    for key, text in texts.items():
+        mine, found = rows(text), []
+        for i, theirs in of_items.items():
+            hits = [(a, b, n, m) for h, t, a, n, m in theirs for g, u, b, _, _ in mine if (h, t) == (g, u)]
+            if hits and d.story([x[0] for x in hits], [x[1] for x in hits], max(x[2] for x in hits), max(x[3] for x in hits))[1]:
+                found.append(i)
+        out[key] = sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("limit", [d.BROADCAST_WINDOWS, 0])
+def test_by_brute_force(spark, limit, monkeypatch):
+    # Items share openings, endings and whole templates; texts hold items, parts of items, other values, or just shared phrases.
+    import random
+
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", limit)
+    rng = random.Random(9)
+    shared = ["which of the following is the best answer to this", "how much does it cost in total at the end of the day", "a farmer has some fields near the old river"]
+    words = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ro") for b in ("ta", "sel", "ver", "din", "gor")]
+    names = ["Anna", "Bert", "Cleo", "Dora", "Emil"]
+    some = lambda k: [rng.choice([*words, rng.choice(names), str(rng.randint(2, 99))]) if rng.random() < 0.4 else rng.choice(words) for _ in range(k)]
+    items = {}
+    for i in range(40):
+        middle = some(rng.randint(2, 25))
+        items[i] = " ".join([*(rng.choice(shared).split() if rng.random() < 0.6 else []), *middle, *(rng.choice(shared).split() if rng.random() < 0.6 else [])])
+    items |= {40: shared[0], 41: shared[0] + " " + shared[1], 42: items[3], 43: "five words are an item", 44: "only four words here"}
+    texts = {}
+    for k in range(160):
+        item = items[rng.randrange(45)].split()
+        kind = rng.randrange(5)
+        if kind == 1:
+            cut = rng.randint(1, len(item))
+            item = item[:cut] if rng.random() < 0.5 else item[-cut:]
+        elif kind == 2:
+            item = [str(rng.randint(2, 99)) if w.isdigit() else rng.choice(names) if w in names and rng.random() < 0.3 else w for w in item]
+        elif kind == 3:
+            item = rng.choice(shared).split()
+        elif kind == 4:
+            item[rng.randrange(len(item))] = "changed"
+        texts[k] = " ".join(some(rng.randint(0, 30)) + item + some(rng.randint(0, 30)))
+    want = brute_force(texts, items)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in d.contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == want
+    assert 40 < sum(map(bool, want.values())) < 160
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    docs = spark.createDataFrame([(None, OTHER), (None, FILL), (1, FILL), (1, FILL + OTHER)], "doc_id long, text string")
+    got = [(r["doc_id"], r["contaminated"]) for r in d.contaminated(docs, spark.createDataFrame([(8, OTHER)], "item_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(1, False), (1, True), (None, False), (None, True)]

@@ -67,3 +67,28 @@ def test_stages(spark, folder):
     now = texts(docs)
     assert len(got) == len(now) and all(r["ids"] == library.encode(now[r["doc_id"]], add_special_tokens=False).ids for r in got)
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, got))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    # Null and repeated ids, null and very long texts, columns whose names the operators use, and no rows at all.
+    path = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c = prose(80), prose(80), prose(60)
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c + " " + ITEM), (None, None), (2, ""), (3, prose(60_000)), (4, f"{prose(60)} {SECRET}"), (None, b + " x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, same string, digest string, _row string, hash string"
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", "x", "x", "x", "x") for i, t in rows], schema)
+    kept = []
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), path)
+        docs = corpus_pipeline.written(stage(spark, docs, path), "t")
+        assert empty.count() == 0 and empty.columns == docs.columns
+        kept.append(sorted(((r["doc_id"], (r["text"] if "text" in docs.columns else r["decoded"])[:20]) for r in docs.collect()), key=str))
+    of = lambda *texts: sorted(((i, t[:20]) for i, t in texts), key=str)
+    good = [(1, a), (1, a), (1, b), (None, c), (None, c), (3, rows[7][1]), (4, rows[8][1]), (None, b)]
+    assert kept[0] == of(*good)
+    assert kept[1] == of((1, a), (1, b), (None, c), (None, c), (3, rows[7][1]), (4, rows[8][1]))
+    assert kept[2] == kept[3] == of((1, a), (1, b), (None, c), (3, rows[7][1]), (4, rows[8][1]))
+    assert len(kept[4]) == 5
