@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows of each class a classifier is fitted on at most (those with the smallest hashed ids), and the longest text among them, in characters.
 SAMPLE_ROWS, SAMPLE_CHARACTERS = 3_000, 20_000
 
@@ -24,18 +26,21 @@ def training_rows(labels: DataFrame, label: str) -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, characters: int = SAMPLE_CHARACTERS, *more: str) -> tuple[pd.DataFrame, dict[int, int]]:
     """A bounded sample (text, label and the columns more) of the training rows, in a fixed order, and the number of rows by label.
 
-    docs has doc_id, text (not null) and the columns more. The sample has at most rows of each label, of at most so many characters each.
+    docs has doc_id, text (not null) and the columns more. The sample has at most rows of each label, of at most so many characters
+    each, drawn by hashed id from the labelled rows that docs has; labels of absent or longer documents don't count.
     """
-    known = training_rows(labels, label)
+    there = docs.where(F.length("text") <= characters).select("doc_id").distinct()
+    known = written(training_rows(labels, label).join(there, "doc_id", "left_semi"), "labelled")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    # Twice as many as asked for are looked up, as some have no text or a longer one.
-    first = lambda x: known.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-    chosen = first(0).union(first(1))
-    # Bounded by 4 * rows ids, whatever the tables' size.
-    found = docs.where(F.length("text") <= characters).join(F.broadcast(chosen), "doc_id")
-    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("text", *more)).alias("x")).select("doc_id", "label", "x.*", F.xxhash64("doc_id").alias("order"))
-    kept = [one.where(F.col("label") == x).orderBy("order", "doc_id").limit(rows).toPandas() for x in (0, 1)]
-    return pd.concat(kept).sort_values(["order", "doc_id"]).reset_index(drop=True), sizes
+    # Ids are drawn below a hash bound before any is sorted or looked up, half as many again as asked for, so few rows move.
+    order = F.xxhash64("doc_id", F.lit(17))
+    below = lambda x: min(1.0, (1.5 * rows + 100) / max(1, sizes.get(x, 0)))
+    drawn = known.where(F.pmod(order, F.lit(1 << 20)) < F.when(F.col("label") == 1, below(1)).otherwise(below(0)) * (1 << 20))
+    chosen = [drawn.where(F.col("label") == x).orderBy(order, "doc_id").limit(rows) for x in (0, 1)]
+    # Bounded by 2 * rows ids, whatever the tables' size.
+    found = docs.where(F.length("text") <= characters).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct("text", *more)).alias("x")).select("doc_id", "label", "x.*", order.alias("order"))
+    return one.toPandas().sort_values(["order", "doc_id"]).reset_index(drop=True), sizes
 
 
 def sigmoid(x):

@@ -93,3 +93,16 @@ def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
         edges = np.arange(toxicity.CELLS + 1) / toxicity.CELLS
         want = next(e for e in edges if (score >= e).sum() <= 0.01 * len(score))
         assert len(score) >= 20 and threshold == pytest.approx(np.clip(want, 0.3, 0.95), abs=1e-12)
+
+
+def test_labels_of_absent_documents_leave_the_sample_whole(spark):
+    from cadenza.llm.labelled import sample
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(0, 4_000, 40)] + [(8, "x" * 30_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 40 % 2, 0) for k in range(4_000)], "doc_id long, toxic int, quality int")
+    rows, sizes = sample(docs, labels, "toxic", 20)
+    wanted = [k for k in range(0, 4_000, 40) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert sum(sizes.values()) == len(wanted) and set(rows["doc_id"]) <= set(wanted)
+    assert (rows["label"] == 0).sum() == (rows["label"] == 1).sum() == 20
+    again, _ = sample(docs.repartition(7), labels.repartition(3), "toxic", 20)
+    assert again["doc_id"].tolist() == rows["doc_id"].tolist()

@@ -54,3 +54,31 @@ def test_without_labels_or_rows(spark):
     got = q.quality_rules(docs.limit(50), labels.limit(0)).collect()
     assert all(r["kept"] != r["base_failed"] for r in got)
     assert q.quality_rules(docs.limit(0), labels).count() == q.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_cutoffs_by_brute_force(spark):
+    # The same cutoffs from plain loops over all calibration rows, and the verdicts that follow.
+    import zlib
+
+    docs, labels = documents(spark)
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]
+    counted = [(i, lang, dict(zip(q.COUNTS, q.counts(t)))) for i, t, lang in rows]
+    failed = lambda c: c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+    rates = lambda c: {name: c[a] / max(c[b], 1) for name, (a, b) in q.RATES.items()}
+    strata = {}
+    for i, lang, c in counted:
+        if quality.get(i) == 1 and zlib.crc32(str(i).encode()) % 3 != 1 and not failed(c):
+            strata.setdefault(lang, []).append(rates(c))
+    per_rate = q.ALLOWED / len(q.RATES)
+    strata = {s: x for s, x in strata.items() if len(x) >= q.least_labels(per_rate, q.ERROR)}
+    cutoffs = {}
+    for s, x in strata.items():
+        for name in q.RATES:
+            for cutoff in q.GRID:
+                if not q.certified(sum(r[name] > cutoff for r in x), len(x), per_rate, q.ERROR / (len(strata) * len(q.RATES))):
+                    break
+                cutoffs[s, name] = cutoff
+    want = sorted(((i, not failed(c) and not any(r > cutoffs.get((lang, name), float("inf")) for name, r in rates(c).items())) for i, lang, c in counted), key=str)
+    got = sorted(((r["doc_id"], r["kept"]) for r in q.quality_rules(docs, labels).collect()), key=str)
+    assert got == want and cutoffs and len({s for s, _ in cutoffs}) == 2
