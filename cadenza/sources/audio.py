@@ -14,19 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.samples import split_round
-from . import adts, aiff, flac, mp4, ogg, vorbis, wav
+from . import aac, adts, aiff, flac, mp4, ogg, vorbis, wav
 
 PCM = "stream_id string, block_no long, start_frame long, rate int, channels int, samples array<int>"
 STREAMS = "stream_id string, container string, rate int, channels int, bits int, format string, frames long, error string"
 #: Frames in a block: a multiple of the chunks, hops and codec blocks used elsewhere.
 BLOCK = 65536
 
+def _aac(frames: list[bytes], rate: int) -> tuple[int, np.ndarray]:
+    return rate, split_round(aac.decode(frames, rate)[0], 16)
+
+
+def _adts(data: bytes) -> tuple[int, np.ndarray]:
+    found = adts.frames(data)
+    return _aac([p for *_, p in found], found[0][1].rate)
+
+
 #: The registry of readers: file bytes to (rate, samples of frames x channels).
 READERS: dict[str, Callable[[bytes], tuple[int, np.ndarray]]] = {
     "wav": lambda b: (lambda r: (r[0].rate, r[1]))(wav.read(b)),
     "aiff": lambda b: (lambda r: (r[0].rate, r[1]))(aiff.read(b)),
     "flac": lambda b: (lambda r: (r[0].rate, r[1]))(flac.read(b)),
     "ogg": lambda b: (lambda r: (r[0].rate, split_round(r[1], 16)))(vorbis.decode(b)),
+    "aac": _adts,
+    "mp4": lambda b: _aac(mp4.samples(b), mp4.read(b).config.rate),
 }
 #: The registry of writers: (samples, rate, options) to file bytes.
 WRITERS: dict[str, Callable[..., bytes]] = {
@@ -34,6 +45,8 @@ WRITERS: dict[str, Callable[..., bytes]] = {
     "aiff": lambda x, rate, **o: aiff.write(x.astype(np.int16), rate, **o),
     "flac": lambda x, rate, **o: flac.write(x, rate, **o),
     "vorbis": lambda x, rate, **o: vorbis.encode(x / 32768.0, rate, **o),
+    "aac": lambda x, rate, **o: b"".join(adts.wrap(f, rate, x.shape[1]) for f in aac.encode(x / 32768.0, rate, **o)),
+    "mp4": lambda x, rate, **o: mp4.write(aac.encode(x / 32768.0, rate, **o), rate, x.shape[1]),
 }
 
 
@@ -86,25 +99,35 @@ def streams(content: DataFrame) -> DataFrame:
     return content.mapInPandas(run, STREAMS)
 
 
-def decode(content: DataFrame, block: int = BLOCK, readers: dict | None = None) -> DataFrame:
-    """Sample blocks of the files that a reader is registered for; other files give no rows."""
+def decode(content: DataFrame, block: int = BLOCK, readers: dict | None = None, errors: str = "skip") -> DataFrame:
+    """Sample blocks of files.
+
+    A file that no reader knows or that isn't sound gives no rows (errors="skip"), one row without samples whose column error says
+    why (errors="rows", which adds that column), or stops the job (errors="raise").
+    """
     known = readers or READERS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for sid, c in zip(f["stream_id"], f["content"]):
                 data = bytes(c)
-                read = known.get(container(data[:64]))
-                if read is None:
-                    continue
+                kind = container(data[:64])
                 try:
-                    rate, x = read(data)
-                except ValueError:
+                    if kind not in known:
+                        raise ValueError("no reader for it")
+                    rate, x = known[kind](data)
+                except (ValueError, EOFError, IndexError) as e:
+                    why = f"{sid} was not read: {kind}: {e or type(e).__name__}"
+                    if errors == "raise":
+                        raise ValueError(why) from e
+                    if errors == "rows":
+                        yield pd.DataFrame({"stream_id": [sid], "block_no": pd.array([None], "Int64"), "start_frame": pd.array([None], "Int64"), "rate": pd.array([None], "Int32"), "channels": pd.array([None], "Int32"), "samples": [None], "error": [why]})
                     continue
                 for k, at in enumerate(range(0, len(x), block)):
-                    yield pd.DataFrame({"stream_id": [sid], "block_no": [k], "start_frame": [at], "rate": [rate], "channels": [x.shape[1]], "samples": [x[at : at + block].ravel().astype(np.int32)]})
+                    out = pd.DataFrame({"stream_id": [sid], "block_no": [k], "start_frame": [at], "rate": [rate], "channels": [x.shape[1]], "samples": [x[at : at + block].ravel().astype(np.int32)]})
+                    yield out.assign(error=None) if errors == "rows" else out
 
-    return content.mapInPandas(run, PCM)
+    return content.mapInPandas(run, PCM + ", error string" if errors == "rows" else PCM)
 
 
 def samples(pcm: DataFrame) -> DataFrame:
