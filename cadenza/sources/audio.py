@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.samples import split_round
-from . import aac, adts, aiff, flac, mp4, ogg, vorbis, wav
+from . import aac, adts, aiff, flac, mp3, mp4, ogg, vorbis, wav
 
 PCM = "stream_id string, block_no long, start_frame long, rate int, channels int, samples array<int>"
 STREAMS = "stream_id string, container string, rate int, channels int, bits int, format string, frames long, error string"
@@ -38,6 +38,7 @@ READERS: dict[str, Callable[[bytes], tuple[int, np.ndarray]]] = {
     "ogg": lambda b: (lambda r: (r[0].rate, split_round(r[1], 16)))(vorbis.decode(b)),
     "aac": _adts,
     "mp4": lambda b: _aac(mp4.samples(b), mp4.read(b).config.rate),
+    "mp3": lambda b: (lambda r: (r[0], split_round(r[1], 16)))(mp3.decode(b)),
 }
 #: The registry of writers: (samples, rate, options) to file bytes.
 WRITERS: dict[str, Callable[..., bytes]] = {
@@ -46,6 +47,7 @@ WRITERS: dict[str, Callable[..., bytes]] = {
     "flac": lambda x, rate, **o: flac.write(x, rate, **o),
     "vorbis": lambda x, rate, **o: vorbis.encode(x / 32768.0, rate, **o),
     "aac": lambda x, rate, **o: b"".join(adts.wrap(f, rate, x.shape[1]) for f in aac.encode(x / 32768.0, rate, **o)),
+    "mp3": lambda x, rate, **o: mp3.encode(x / 32768.0, rate, **o),
     "mp4": lambda x, rate, **o: mp4.write(aac.encode(x / 32768.0, rate, **o), rate, x.shape[1]),
 }
 
@@ -57,7 +59,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def container(head: bytes) -> str:
-    for name, test in (("wav", head[:4] in (b"RIFF", b"RF64")), ("aiff", head[:4] == b"FORM"), ("flac", head[:4] == b"fLaC"), ("ogg", head[:4] == b"OggS"), ("mp4", head[4:8] == b"ftyp"), ("aac", adts.parse(head) is not None)):
+    for name, test in (("wav", head[:4] in (b"RIFF", b"RF64")), ("aiff", head[:4] == b"FORM"), ("flac", head[:4] == b"fLaC"), ("ogg", head[:4] == b"OggS"), ("mp4", head[4:8] == b"ftyp"), ("aac", adts.parse(head) is not None), ("mp3", head[:3] == b"ID3" or mp3.parse_header(head) is not None)):
         if test:
             return name
     return "unknown"
@@ -78,6 +80,11 @@ def _describe(data: bytes) -> tuple:
         if kind == "aac":
             f = adts.frames(data)
             return kind, f[0][1].rate, f[0][1].channels, None, "aac", 1024 * len(f), None
+        if kind == "mp3":
+            f = mp3.frames(data)
+            if not f:
+                raise ValueError("no frame")
+            return kind, f[0][1].rate, f[0][1].channels, None, "mp3", sum(576 * h.granules for _, h in f), None
         if kind == "ogg":
             p = ogg.pages(data)
             first = next((x.data for x in ogg.packets(p) if x.data[:7] == b"\1vorbis"), None)
@@ -248,6 +255,18 @@ def aac_frames(content: DataFrame) -> DataFrame:
     return content.mapInPandas(run, "stream_id string, frame_no long, rate int, channels int, data binary")
 
 
+def mp3_frames(content: DataFrame) -> DataFrame:
+    """stream_id, frame_no, offset, rate, kbps, channels, bytes: the frames of layer III files."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for sid, c in zip(f["stream_id"], f["content"]):
+                rows = [(sid, k, at, h.rate, h.kbps, h.channels, h.size) for k, (at, h) in enumerate(mp3.frames(bytes(c)))]
+                yield pd.DataFrame(rows, columns=["stream_id", "frame_no", "offset", "rate", "kbps", "channels", "bytes"])
+
+    return content.mapInPandas(run, "stream_id string, frame_no long, offset long, rate int, kbps int, channels int, bytes int")
+
+
 def numbered(series: DataFrame, value: str, block: int = BLOCK, rate: int = 44100) -> DataFrame:
     """Sample blocks of one channel from rows (stream_id, n, value)."""
     by = F.call_function("div", F.col("n"), F.lit(block).cast("long"))
