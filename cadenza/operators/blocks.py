@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pcm import div
+from .folds import folded
 
 #: Window shapes.
 LONG, START, SHORT, STOP = range(4)
@@ -41,15 +42,21 @@ def attacks(energies: DataFrame, ratio: float = 8.0) -> DataFrame:
 def window_sequence(frames: DataFrame) -> DataFrame:
     """stream_id, frame_no, shape: a start shape leads to short blocks, which last while there are attacks; a stop shape leads back.
 
-    The shape depends on the one before, so a stream is one ordered fold, in the JVM.
+    The shape depends on the one before, so a stream is one ordered fold.
     """
-    ordered = frames.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("frame_no", "attack"))).alias("xs"))
 
-    def step(acc, x):
-        now = F.coalesce(F.element_at(acc, -1)["shape"], F.lit(LONG))
-        calm = F.when(x["attack"], START).otherwise(LONG)
-        shape = F.when(now == START, SHORT).when(now == SHORT, F.when(x["attack"], SHORT).otherwise(STOP)).otherwise(calm)
-        return F.concat(acc, F.array(F.struct(x["frame_no"].alias("frame_no"), shape.alias("shape"))))
+    def start():
+        now = [LONG]
 
-    seed = F.array(F.struct(F.lit(-1).cast("long").alias("frame_no"), F.lit(LONG).alias("shape")))
-    return ordered.select("stream_id", F.explode(F.aggregate("xs", seed, step)).alias("x")).select("stream_id", "x.*").where("frame_no >= 0")
+        def step(frame_no: int, attack: bool) -> list[tuple]:
+            if now[0] == START or now[0] == SHORT and attack:
+                now[0] = SHORT
+            elif now[0] == SHORT:
+                now[0] = STOP
+            else:
+                now[0] = START if attack else LONG
+            return [(frame_no, now[0])]
+
+        return step
+
+    return folded(frames, ["frame_no"], ["frame_no", "attack"], start, "frame_no long, shape int")

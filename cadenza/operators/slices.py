@@ -6,17 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pcm import div, vlq_hex
+from .folds import folded
 
 PPQN, STEP = 480, 120
 HOP_SIZE, HISTORY, NOISE_FLOOR, LEAST_NOVELTY = 32, 16, 500.0, 2000.0
 MOST_SLICES = 256
 
 
+#: Samples of a stream that one task looks at together.
+BLOCK = 1 << 16
+
+
+def with_previous(samples: DataFrame, block: int = BLOCK) -> DataFrame:
+    """samples(stream_id, n, v), n without gaps, with before: the value of the sample before (null for the first).
+
+    Windows go over blocks of a stream, and each block's first sample gets the last value of the block before by a join of one row
+    per block: a long recording is many tasks.
+    """
+    s = samples.select("stream_id", "n", "v", div("n", block).alias("block"))
+    edge = s.where(F.col("n") % block == block - 1).select("stream_id", (F.col("block") + 1).alias("block"), F.col("v").alias("edge"))
+    w = Window.partitionBy("stream_id", "block").orderBy("n")
+    s = s.join(edge, ["stream_id", "block"], "left")
+    return s.withColumn("before", F.coalesce(F.lag("v").over(w), F.when(F.col("n") % block == 0, F.col("edge")))).drop("block", "edge")
+
+
 def hop_energy(samples: DataFrame, hop: int = HOP_SIZE, alpha: float = 0.95) -> DataFrame:
     """stream_id, hop, energy: sums of |x - alpha * previous x| over whole hops; samples past the last whole hop don't count."""
-    w = Window.partitionBy("stream_id").orderBy("n")
-    high = F.abs(F.col("v") - alpha * F.coalesce(F.lag("v").over(w), F.lit(0)))
-    s = samples.select("stream_id", div("n", hop).alias("hop"), high.alias("high"))
+    high = F.abs(F.col("v") - alpha * F.coalesce("before", F.lit(0)))
+    s = with_previous(samples).select("stream_id", div("n", hop).alias("hop"), high.alias("high"))
     return s.groupBy("stream_id", "hop").agg(F.sum("high").alias("energy"), F.count("*").alias("size")).where(F.col("size") == hop).drop("size")
 
 
@@ -45,30 +62,37 @@ def peaks(samples: DataFrame, hops: DataFrame, hop: int = HOP_SIZE) -> DataFrame
 def zero_crossings(samples: DataFrame, peak: DataFrame, reach: int = 64) -> DataFrame:
     """peak with snapped: the last sign change at or before the peak, within reach samples, else the peak.
 
-    Crossings are found by one window over the samples and looked up as of the peak, so no range is joined.
+    Crossings go by cells of reach samples, and a peak looks into its own cell and the one before: an equi-join of bounded width.
     """
-    w = Window.partitionBy("stream_id").orderBy("n")
-    before = F.lag("v").over(w)
-    crossing = samples.withColumn("before", before).where(((F.col("before") <= 0) & (F.col("v") >= 0)) | ((F.col("before") >= 0) & (F.col("v") <= 0)))
-    events = crossing.select("stream_id", F.col("n").alias("at"), F.lit(0).alias("probe"), F.lit(None).cast("long").alias("hop"))
-    both = events.unionByName(peak.select("stream_id", F.col("peak").alias("at"), F.lit(1).alias("probe"), "hop"))
-    last = Window.partitionBy("stream_id").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("zero", F.last(F.when(F.col("probe") == 0, F.col("at")), ignorenulls=True).over(last)).where("probe = 1")
-    return found.select("stream_id", "hop", F.col("at").alias("peak"), F.when(F.col("zero") > F.col("at") - reach, F.col("zero")).otherwise(F.col("at")).alias("snapped"))
+    crossing = with_previous(samples).where(((F.col("before") <= 0) & (F.col("v") >= 0)) | ((F.col("before") >= 0) & (F.col("v") <= 0)))
+    cells = crossing.select("stream_id", F.col("n").alias("zero"), div("n", reach).alias("cell"))
+    own = div("peak", reach)
+    asked = peak.select("stream_id", "hop", "peak", F.explode(F.array(own, own - 1)).alias("cell"))
+    inside = (F.col("zero") <= F.col("peak")) & (F.col("zero") > F.col("peak") - reach)
+    found = asked.join(cells, ["stream_id", "cell"], "left").groupBy("stream_id", "hop", "peak").agg(F.max(F.when(inside, F.col("zero"))).alias("zero"))
+    return found.select("stream_id", "hop", "peak", F.coalesce("zero", "peak").alias("snapped"))
 
 
 def refractory(hits: DataFrame, gap: int, hop: int = HOP_SIZE) -> DataFrame:
     """stream_id, k, start_sample of hits(stream_id, hop, snapped) whose hop starts gap or more samples after the last kept hit.
 
-    A kept hit decides which later ones count, so each stream is one ordered fold over its candidates, in the JVM.
+    A kept hit decides which later ones count, so each stream is one ordered fold over its candidates.
     """
-    ordered = hits.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("hop", "snapped"))).alias("xs"))
-    kept = F.aggregate(
-        "xs",
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["hop"] * hop - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x["snapped"]))).otherwise(acc),
-    )
-    return ordered.select("stream_id", F.posexplode(kept).alias("k", "start_sample"))
+
+    def start():
+        kept: list[int] = []
+        count = [0]
+
+        def step(at: int, snapped: int) -> list[tuple]:
+            if kept and at * hop - kept[0] < gap:
+                return []
+            kept[:] = [snapped]
+            count[0] += 1
+            return [(count[0] - 1, snapped)]
+
+        return step
+
+    return folded(hits, ["hop", "snapped"], ["hop", "snapped"], start, "k int, start_sample long")
 
 
 def onsets(samples: DataFrame, gap: int, sensitivity: float = 0.5, hop: int = HOP_SIZE, alpha: float = 0.95, floor: float = NOISE_FLOOR, least: float = LEAST_NOVELTY) -> DataFrame:
@@ -118,6 +142,18 @@ def quantize(hits: DataFrame, totals: DataFrame, rate: int, bpm: float = 120.0,
     return _lengths(s.join(totals, "stream_id"), rate)
 
 
+def summary(slices: DataFrame, totals: DataFrame, rate: int, numerator: int = 4, denominator: int = 4) -> DataFrame:
+    """stream_id, slices, duration_ms, num_bars of streams (those without slices have no bars): the last slice's bar, counted from 1."""
+    found = slices.groupBy("stream_id").agg(F.count("*").alias("slices"), F.max_by("musical_tick", "k").alias("tick"))
+    bars = F.when(F.col("tick").isNull(), 0).otherwise(div(F.col("tick"), ticks_per_bar(numerator, denominator)) + 1)
+    return totals.join(found, "stream_id", "left").select("stream_id", F.coalesce("slices", F.lit(0)).cast("long").alias("slices"), div(F.col("total") * 1000, rate).alias("duration_ms"), bars.cast("long").alias("num_bars"))
+
+
+def slice_at(slices: DataFrame, index: DataFrame) -> DataFrame:
+    """The slices of index(stream_id, k), all their columns; none for numbers that a stream doesn't have."""
+    return index.join(slices, ["stream_id", "k"])
+
+
 def one_shots(hits: DataFrame, totals: DataFrame, rate: int, most: int = MOST_SLICES) -> DataFrame:
     """Slices at hits as they are: no ticks."""
     zero = F.lit(0).cast("long")

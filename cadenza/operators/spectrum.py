@@ -37,11 +37,27 @@ def to_level(energy, reference: float = REFERENCE):
 def band_energy(magnitudes: DataFrame, edges: DataFrame, reference: float = REFERENCE) -> DataFrame:
     """stream_id, frame_no, band, energy, level of magnitudes(stream_id, frame_no, magnitudes): inclusive sums per band.
 
-    edges has at most 64 rows by construction, so it is broadcast; each frame stays one row until the bands are made.
+    edges has at most 64 rows by construction: they become one array expression, so a frame stays one row until its bands are made.
     """
-    part = F.slice("magnitudes", (F.col("k0") + 1).cast("int"), (F.col("k1") - F.col("k0") + 1).cast("int"))
-    energy = F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x)
-    return magnitudes.crossJoin(F.broadcast(edges)).select("stream_id", "frame_no", "band", energy.alias("energy"), to_level(energy, reference).alias("level"))
+    bands = edges.agg(F.sort_array(F.collect_list(F.struct("band", "k0", "k1"))).alias("edges"))
+
+    def energies(edge):
+        part = F.slice("magnitudes", (edge["k0"] + 1).cast("int"), (edge["k1"] - edge["k0"] + 1).cast("int"))
+        return F.struct(edge["band"].alias("band"), F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
+
+    rows = magnitudes.crossJoin(F.broadcast(bands)).select("stream_id", "frame_no", F.explode(F.transform("edges", energies)).alias("b"))
+    return rows.select("stream_id", "frame_no", "b.band", "b.energy", to_level(F.col("b.energy"), reference).alias("level"))
+
+
+def pick_level(duration_ms: int, columns: int, frames: list[int]) -> int:
+    """The level that a range query of so many columns reads, of levels with so many frames: the coarse one from 90 ms a column on, if it has frames."""
+    return int(len(frames) > 1 and columns > 0 and frames[1] > 0 and duration_ms / columns >= 90)
+
+
+def range_query_of(levels: list[DataFrame], start_ms: int, duration_ms: int, columns: int, frame_ms: float, ratio: int = 16) -> DataFrame:
+    """range_query on the level that its resolution asks for; levels has the frames and their peak hold over ratio frames."""
+    level = pick_level(duration_ms, columns, [1] * len(levels))
+    return range_query(levels[level], start_ms, duration_ms, columns, frame_ms * ratio**level)
 
 
 def peak_hold(frames: DataFrame, ratio: int = 16, bands: int = BANDS) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 LAGS = (21, 89)
 WINDOW, LEAST_SAMPLES = 512, 178
 BASS, SNARE, HIGH = (0, 15), (16, 42), (43, 63)
@@ -39,18 +45,28 @@ def estimate(recent: DataFrame, frame_rate: float) -> DataFrame:
     """stream_id, lag, bpm, confidence from recent(stream_id, x): the last WINDOW novelty values, oldest first, fewer at the start.
 
     Autocorrelation at a lag, twice and four times it, weighted by a prior around 120 BPM; the first best lag, refined by a
-    parabola. Arrays have WINDOW values at most, so the sums are JVM-side folds over bounded rows.
+    parabola. The sums are numpy products over the arrays of a batch of streams, WINDOW values at most each.
     """
-    padded = F.concat(F.array_repeat(F.lit(0.0), F.lit(WINDOW) - F.size("x")), F.col("x"))
-    p = recent.select("stream_id", F.size("x").alias("count"), padded.alias("x"))
-    rows = p.select("stream_id", "count", "x", F.explode(F.sequence(F.lit(LAGS[0]), F.lit(LAGS[1]))).alias("lag"))
-
-    def r(times: int) -> Column:
-        shifted = F.slice("x", F.lit(1), F.lit(WINDOW) - F.col("lag") * times)
-        ahead = F.slice("x", (F.col("lag") * times + 1).cast("int"), F.lit(WINDOW) - F.col("lag") * times)
-        return F.aggregate(F.zip_with(shifted, ahead, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-
-    score = (r(1) + 0.5 * r(2) + 0.25 * r(4)) * prior(F.col("lag").cast("double"), frame_rate)
+    key = recent.schema["stream_id"].dataType.simpleString()
+    lags = np.arange(LAGS[0], LAGS[1] + 1)
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                lists = batch.column("x")
+                sizes = lists.value_lengths().to_numpy().astype(np.int64)
+                x = np.zeros((len(sizes), WINDOW))
+                ends = np.cumsum(sizes)
+                x[np.repeat(np.arange(len(sizes)), sizes), np.arange(ends[-1]) - np.repeat(ends - WINDOW, sizes)] = lists.flatten().to_numpy()
+                r = {t: (x[:, : WINDOW - t] * x[:, t:]).sum(axis=1) for t in sorted({int(t) for m in (1, 2, 4) for t in m * lags if t < WINDOW})}
+                none = np.zeros(len(sizes))
+                columns = [np.stack([r.get(int(m * t), none) for t in lags], axis=1).ravel() for m in (1, 2, 4)]
+                repeated = batch.select(["stream_id"]).take(pa.array(np.repeat(np.arange(len(sizes)), len(lags))))
+                yield pa.RecordBatch.from_arrays([repeated.column(0), pa.array(np.repeat(sizes, len(lags)).astype(np.int32)), pa.array(np.tile(lags, len(sizes)).astype(np.int32)), *map(pa.array, columns)], ["stream_id", "count", "lag", "r1", "r2", "r4"])
+
+    rows = recent.where(F.size("x") > 0).mapInArrow(correlate, f"stream_id {key}, count int, lag int, r1 double, r2 double, r4 double")
+    score = (F.col("r1") + 0.5 * F.col("r2") + 0.25 * F.col("r4")) * prior(F.col("lag").cast("double"), frame_rate)
     rows = rows.select("stream_id", "count", "lag", F.round(score, 6).alias("score"))
     w = Window.partitionBy("stream_id").orderBy("lag")
     rows = rows.withColumn("prev", F.lag("score").over(w)).withColumn("next", F.lead("score").over(w))
@@ -79,15 +95,46 @@ def recent_novelty(nov: DataFrame, size: int = WINDOW) -> DataFrame:
 def curve_points(estimates: DataFrame, drift: float) -> DataFrame:
     """stream_id, n, bpm: the first estimate, and each that differs from the last kept one by drift or more.
 
-    What is kept decides what comes next, so a stream is one ordered fold; it runs in the JVM over (n, bpm) pairs.
+    What is kept decides what comes next, so a stream is one ordered fold.
     """
-    ordered = estimates.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("n", "bpm"))).alias("xs"))
-    kept = F.aggregate(
-        "xs",
-        F.slice("xs", 1, 1),
-        lambda acc, x: F.when(F.abs(x["bpm"] - F.element_at(acc, -1)["bpm"]) >= drift, F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return ordered.select("stream_id", F.explode(kept).alias("p")).select("stream_id", "p.n", "p.bpm")
+
+    def start():
+        kept: list[float] = []
+
+        def step(n: int, bpm: float) -> list[tuple]:
+            if kept and abs(bpm - kept[0]) < drift:
+                return []
+            kept[:] = [bpm]
+            return [(n, bpm)]
+
+        return step
+
+    return folded(estimates.where("bpm IS NOT NULL").withColumn("bpm", F.col("bpm").cast("double")), ["n"], ["n", "bpm"], start, "n long, bpm double")
+
+
+#: A tempo curve is estimated every so many frames, from so many on, and by estimates of more confidence only.
+EVERY, FIRST_FRAME, CONFIDENT = 64, 256, 50
+
+
+def curve(nov: DataFrame, frame_rate: float, drift: float = 0.5) -> DataFrame:
+    """stream_id, time_ms, bpm: the tempo curve of nov(stream_id, frame_no, novelty), frames counted from 0.
+
+    Estimates over the last WINDOW values are made at every EVERY-th frame from FIRST_FRAME on; the confident ones that differ by
+    drift from the last point are points, the first of them at time 0. A frame enters the WINDOW / EVERY estimates after it, by an
+    explode of that many rows, so no window of rows is copied.
+    """
+    at = F.explode(F.sequence(F.greatest(F.ceil((F.col("frame_no") + 1) / EVERY) * EVERY, F.lit(FIRST_FRAME)), F.ceil((F.col("frame_no") + 1) / EVERY) * EVERY + WINDOW, F.lit(EVERY)))
+    last = nov.groupBy("stream_id").agg(F.max("frame_no").alias("last"))
+    # The estimate at frame a sees the frames before it.
+    rows = nov.select("stream_id", "frame_no", F.col("novelty").cast("double").alias("novelty"), at.alias("at")).where((F.col("frame_no") < F.col("at")) & (F.col("frame_no") >= F.col("at") - WINDOW))
+    rows = rows.join(last, "stream_id").where(F.col("at") <= F.col("last"))
+    windows = rows.groupBy("stream_id", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_no", "novelty"))), lambda x: x["novelty"]).alias("x"))
+    keyed = windows.select(F.struct("stream_id", "at").alias("k"), "x").select(F.to_json("k").alias("stream_id"), "k", "x")
+    made = estimate(keyed.select("stream_id", "x"), frame_rate).join(keyed.select("stream_id", "k"), "stream_id")
+    sure = made.where(F.col("confidence") > CONFIDENT).select(F.col("k.stream_id").alias("stream_id"), F.col("k.at").alias("n"), "bpm")
+    points = curve_points(sure, drift)
+    first = F.row_number().over(Window.partitionBy("stream_id").orderBy("n")) == 1
+    return points.select("stream_id", F.when(first, 0).otherwise(F.floor(F.col("n") * 1000 / frame_rate)).cast("long").alias("time_ms"), "bpm")
 
 
 def beat_grid(nov: DataFrame, period: float, signature: int = 4, start: float = 30.0, on: float = 20.0) -> DataFrame:
@@ -96,18 +143,27 @@ def beat_grid(nov: DataFrame, period: float, signature: int = 4, start: float =
     The first beat needs a novelty above start; a later one at least 0.85 periods after the last, with a novelty above on or
     1.15 periods after it (then interpolated). The phase of four with the most bass over snare gets the downbeats.
     """
-    ordered = nov.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("frame_no", "novelty", (F.col("bass") - F.col("snare")).cast("long").alias("kick")))).alias("xs"))
-    entry = lambda x: F.array(F.struct(x["frame_no"].alias("frame_no"), (x["novelty"] <= on).alias("interpolated"), x["kick"].alias("kick")))
-    none = F.array().cast("array<struct<frame_no:bigint,interpolated:boolean,kick:bigint>>")
-    since = lambda acc, x: x["frame_no"] - F.element_at(acc, -1)["frame_no"]
-    beats = F.aggregate(
-        "xs",
-        none,
-        lambda acc, x: F.when(F.size(acc) == 0, F.when(x["novelty"] > start, entry(x)).otherwise(acc))
-        .when((since(acc, x) >= 0.85 * period) & ((x["novelty"] > on) | (since(acc, x) >= 1.15 * period)), F.concat(acc, entry(x)))
-        .otherwise(acc),
-    )
-    b = ordered.select("stream_id", F.posexplode(beats).alias("beat", "b")).select("stream_id", "beat", "b.*")
+
+    def begin():
+        last: list[int] = []
+        count = [0]
+
+        def step(n: int, novelty: float, kick: int) -> list[tuple]:
+            if last:
+                since = n - last[0]
+                beat = since >= 0.85 * period and (novelty > on or since >= 1.15 * period)
+            else:
+                beat = novelty > start
+            if not beat:
+                return []
+            last[:] = [n]
+            count[0] += 1
+            return [(count[0] - 1, n, novelty <= on, kick)]
+
+        return step
+
+    kicks = nov.select("stream_id", "frame_no", "novelty", (F.col("bass") - F.col("snare")).cast("long").alias("kick"))
+    b = folded(kicks, ["frame_no"], ["frame_no", "novelty", "kick"], begin, "beat int, frame_no long, interpolated boolean, kick long")
     scores = b.groupBy("stream_id").agg(*(F.sum(F.when(F.col("beat") % 4 == p, F.col("kick")).otherwise(0)).alias(f"s{p}") for p in range(4)))
     top = F.greatest(*(F.col(f"s{p}") for p in range(4)))
     phase = F.when(F.col("s0") == top, 0).when(F.col("s1") == top, 1).when(F.col("s2") == top, 2).otherwise(3)
@@ -172,3 +228,8 @@ def beats_in_range(beats: DataFrame, start_ms: int, duration_ms: int, most: int)
     w = Window.partitionBy("stream_id").orderBy("time_ms", "beat")
     inside = beats.where((F.col("time_ms") >= start_ms) & (F.col("time_ms") < start_ms + duration_ms))
     return inside.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
+def beat_at(beats: DataFrame, index: DataFrame) -> DataFrame:
+    """The beats of index(stream_id, beat), all their columns; none for numbers that a stream doesn't have."""
+    return index.join(beats, ["stream_id", "beat"])

@@ -177,3 +177,54 @@ def test_flac_frames_are_made_by_block(spark):
     frames = [bytes(r["frame"]) for r in audio.flac_frames(blocks).orderBy("frame_no").collect()]
     data = flac.stream(frames, bytes(16), len(x), 44100, 1, 16, 4096)
     assert (flac.read(data)[1][:, 0] == x).all()
+
+
+def test_long_checksums_are_those_of_the_bytes_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, checksums.LEAST - 1, checksums.LEAST, checksums.LEAST + 63, 100_003):
+        data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        for kind in checksums.CRC:
+            for start in (0, 0xFF):
+                assert checksums.crc(data, kind, start) == checksums._serial(data, kind, start)
+
+
+def test_previous_samples_across_blocks(spark):
+    from cadenza.operators import slices
+
+    rows = [(s, n, (n * 7 + s) % 23 - 11) for s in (1, 2) for n in range(s * 17)]
+    got = slices.with_previous(spark.createDataFrame(rows, "stream_id long, n long, v long"), 4).collect()
+    value = {(s, n): v for s, n, v in rows}
+    assert len(got) == len(rows) and all(r["before"] == value.get((r["stream_id"], r["n"] - 1)) for r in got)
+
+
+def test_tempo_curve_by_brute_force(spark):
+    import numpy as np
+
+    from cadenza.operators import tempo
+
+    rng = np.random.default_rng(8)
+    rate, rows, want = 86.0, [], {}
+    for sid in (1, 2, 3):
+        n = {1: 900, 2: 255, 3: 700}[sid]
+        period = np.where(np.arange(n) < n // 2, 43, 36 + sid)
+        x = np.where(np.arange(n) % period == 0, 100.0, rng.random(n) * 3)
+        rows += [(sid, k, float(v)) for k, v in enumerate(x)]
+        kept = []
+        for at in range(256, n, 64):
+            e = tempo.estimate(spark.createDataFrame([(1, x[max(0, at - 512) : at].tolist())], "stream_id long, x array<double>"), rate).first()
+            if e["confidence"] > 50 and (not kept or abs(e["bpm"] - kept[-1][1]) >= 0.5):
+                kept.append((int(at * 1000 / rate) if kept else 0, e["bpm"]))
+        if kept:
+            want[sid] = kept
+    got = {}
+    for r in tempo.curve(spark.createDataFrame(rows, "stream_id long, frame_no long, novelty double"), rate).orderBy("stream_id", "time_ms").collect():
+        got.setdefault(r["stream_id"], []).append((r["time_ms"], r["bpm"]))
+    assert got == want and len(want) >= 2 and 2 not in want
+
+
+def test_levels_of_spectra(spark):
+    from cadenza.operators import spectrum
+
+    assert [spectrum.pick_level(*a) for a in ((8999, 100, [9, 9]), (9000, 100, [9, 9]), (9000, 100, [9, 0]), (9000, 0, [9, 9]), (9000, 100, [9]))] == [0, 1, 0, 0, 0]
