@@ -557,14 +557,15 @@ def decode(data: bytes) -> tuple[Info, np.ndarray]:
 
 SHORT, LONG = 512, 2048
 #: Values of the residue book on each axis: -LIMIT to LIMIT - 1.
-LIMIT = 16
+LIMIT = 32
+WIDTH = (2 * LIMIT - 1).bit_length()
 
 
 def _setup(channels: int) -> Setup:
     """One flat book for floor posts, one for classes, one lattice of pairs for residues."""
     posts = sorted({int(round(256 ** (k / 17))) for k in range(1, 17)} | {3, 6, 12, 24, 40, 56, 80, 112, 144, 176, 208, 232})[:24]
     posts = [x for x in posts if 0 < x < 256][: len(posts) // 8 * 8]
-    books = [Codebook(1, [8] * 256), Codebook(4, [4] * 16), Codebook(2, [10] * (4 * LIMIT * LIMIT), 1, -float(LIMIT), 1.0, 5, False, list(range(2 * LIMIT)))]
+    books = [Codebook(1, [8] * 256), Codebook(4, [4] * 16), Codebook(2, [2 * WIDTH] * (4 * LIMIT * LIMIT), 1, -float(LIMIT), 1.0, WIDTH, False, list(range(2 * LIMIT)))]
     floor = Floor([0] * (len(posts) // 8), [(8, 0, 0, [0])], 1, [0, 256, *posts])
     residue = Residue(2, 0, SHORT // 2 * channels, 16, 1, [[-1] * 8, [2] + [-1] * 7])
     mapping = Mapping([(0, 1)] if channels == 2 else [], [0] * channels, [(0, 0)])

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
-from cadenza.plans import containers  # noqa: F401
+from cadenza.plans import containers, signals  # noqa: F401
 from cadenza.plans.catalogue import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
