@@ -404,6 +404,33 @@ class Index:
         self.parts = (files.agg(F.max("part")).first()[0] or 0) + 1
         return copy
 
+    def alike(self, wanted: DataFrame) -> DataFrame:
+        """The wanted runs (row, s0, s1, rel, gram, copies) that can share a window with another of their gram, with kinds, how many of the gram there are.
+
+        A window has more than its gram, and half of the rest at least lies on one side of it. So runs that share a window have the same
+        bytes as far as that on the left or on the right, wherever the window lies; a hash of them tells the others apart.
+        """
+        length = self.length
+        half = (length - GRAM + 1) // 2
+
+        def cut(_: int | None, raw: bytes, runs: list[tuple]) -> tuple[list[tuple], int]:
+            out = []
+            for row, s0, s1, rel, gram, copies in runs:
+                at = s0 + rel
+                left = xxhash.xxh3_64_intdigest(raw[at - half : at + GRAM]) - (1 << 63) if rel >= half else None
+                right = xxhash.xxh3_64_intdigest(raw[at : at + GRAM + half]) - (1 << 63) if at + GRAM + half <= s1 + length else None
+                out.append((row, s0, s1, rel, gram, copies, left, right))
+            return out, 64 * len(out)
+
+        rows = wanted.select("row", F.col("row").alias("of"), "s0", "s1", "rel", "gram", "copies")
+        sides = written(with_texts(self.files, rows, lambda: cut, "row long, s0 int, s1 int, rel int, gram long, copies long, left long, right long", every=False), "sides")
+        shared = lambda side: written(sides.where(F.col(side).isNotNull()).groupBy("gram", side).count().where("count > 1").drop("count"), "shared-sides")
+        columns = ["row", "s0", "s1", "rel", "gram", "copies"]
+        found = sides.join(shared("left"), ["gram", "left"], "left_semi").select(columns).union(sides.join(shared("right"), ["gram", "right"], "left_semi").select(columns))
+        kept = written(found.distinct(), "alike")
+        per_gram = written(kept.groupBy("gram").agg(F.count("*").alias("kinds")), "per-gram")
+        return kept.join(per_gram, "gram")
+
     def contents(self, wanted: DataFrame) -> DataFrame:
         """gram, row, s0, rel, copies, kinds, content of the wanted runs (row, s0, s1, rel, gram, copies, kinds)."""
         length = self.length
@@ -440,8 +467,8 @@ class Index:
         if old is not None:
             spans = spans.union(span(old.join(again, ["gram", "digest"], "left_semi").select("first.*")))
         per_gram = written(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "per-gram")
-        differing = kinds.join(per_gram, "gram").select("gram", "copies", "kinds", "first.*")
-        contents = written(self.contents(differing), "contents")
+        differing = kinds.join(per_gram.select("gram"), "gram", "left_semi").select("gram", "copies", "first.*")
+        contents = written(self.contents(self.alike(differing)), "contents")
         few = contents.where(F.col("kinds") <= self.hot)
         size = few.agg(F.sum(F.length("content"))).first()[0] or 0
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
