@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
@@ -21,6 +21,9 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
         stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         fresh = written(stepped.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), name)
-        labels = fresh.select("node", "label")
+        # A round reads the one before only.
+        discard(labels)
+        labels = fresh
         if fresh.where("label != old").isEmpty():
-            return labels
+            discard(both)
+            return fresh.select("node", "label")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fits, map_documents, written
+from .common import discard, documents, fits, map_documents, written
 from .graph import components
 
 #: Coordinates in a band, and the probability with which a link at just the threshold may share no band.
@@ -248,7 +248,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         some = d.join(F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted, same, "left_semi")
         # An id that repeats may bring the same set more than once.
         sets = written(sets_of(some, size).groupBy("digest").agg(F.first("set").alias("set")), "sets")
+        shared_buckets = members
         members = written(bounded(members, sets, percent), "members")
+        discard(shared_buckets)
+        discard(wanted)
         # The pivot is the class with the fewest shingles of its own: the most central one.
         pivot = members.groupBy("bucket").agg(F.min(F.struct("own", "digest", "n")).alias("pivot"))
         overlap = F.least(F.col("n") - F.col("own"), F.col("pivot.n") - F.col("pivot.own"))
@@ -263,6 +266,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         more = written(settled(rest.join(open_buckets, "bucket", "left_semi"), sets, percent), "verified")
         if not more.isEmpty():
             labels = components(links.union(more))
+        for t in (members, rest, sets):
+            discard(t)
     of_class = classes.select("digest", "rep")
     if labels is not None:
         grouped = of_class.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
