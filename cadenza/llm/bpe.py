@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import documents, map_documents
 
 #: White-space runs whose ids a task remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 32
+REMEMBERED, REMEMBERED_CHARACTERS = 120_000, 32
 #: Symbols in one flat array (a longer word comes alone).
 BATCH_SYMBOLS = 1 << 18
 #: Bytes from which on a word comes alone.

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch between the JVM and a Python worker at most (one longer row comes alone).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: Where driver and executors are one process (tests) and no folder is named.
 LOCAL_DEFAULT = "/tmp/checkpoints/cadenza"

@@ -37,7 +37,7 @@ LEAST_OTHER = 3
 BITS = 24
 BROADCAST_WINDOWS = 500_000
 #: Words that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Units.
 UNITS = frozenset(
@@ -199,7 +199,7 @@ def document_windows(docs: DataFrame, bitmap: bytes, *ids: str) -> DataFrame:
             out: list[tuple] = []
             for row in w.rows(there):
                 out.append(row)
-                if len(out) >= 50_000:
+                if len(out) >= 10_000:
                     yield as_batch(batch, out)
                     out = []
             if out:
