@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,25 +115,111 @@ def curve_points(estimates: DataFrame, drift: float) -> DataFrame:
 
 #: A tempo curve is estimated every so many frames, from so many on, and by estimates of more confidence only.
 EVERY, FIRST_FRAME, CONFIDENT = 64, 256, 50
+#: Frames of a stream that a task estimates at a time, and the EVERY-frame chunks that it holds in one array.
+BLOCK, CHUNKS = 4096, 1024
+
+
+def _window_products(x: np.ndarray, starts: np.ndarray, lag: int) -> np.ndarray:
+    """Sums of x[i] * x[i + lag] within the windows of WINDOW values from chunks starts on; x has whole chunks and WINDOW values of padding.
+
+    Products are summed by chunk once for all the windows that share a chunk.
+    """
+    n = len(x) - WINDOW
+    a, b = x[:n].reshape(-1, EVERY), x[lag : lag + n].reshape(-1, EVERY)
+    whole, left = divmod(WINDOW - lag, EVERY)
+    chunks = np.einsum("ij,ij->i", a, b)
+    sums = sum((chunks[starts + k] for k in range(whole)), np.zeros(len(starts)))
+    return sums + np.einsum("ij,ij->i", a[:, :left], b[:, :left])[starts + whole] if left else sums
+
+
+def _confident(x: np.ndarray, starts: np.ndarray, frame_rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the estimates over the windows from chunks starts on are confident, and their bpm: the rules of `estimate`, in numpy."""
+    lags = np.arange(LAGS[0], LAGS[1] + 1)
+    octaves = [math.log(60.0 * frame_rate / lag / 120.0) / math.log(2.0) for lag in lags.tolist()]
+    weights = np.array([math.exp(-(o * o) / (2 * 0.8 * 0.8)) for o in octaves])
+    r = {t: _window_products(x, starts, t) for t in sorted({int(m * t) for m in (1, 2, 4) for t in lags})}
+    r1, r2, r4 = (np.stack([r[int(m * t)] for t in lags], axis=1) for m in (1, 2, 4))
+    score = (r1 + 0.5 * r2 + 0.25 * r4) * weights
+    size = np.abs(score)
+    score = np.where(size < 1 << 32, np.copysign(np.floor(size * 1e6 + 0.5) / 1e6, score), score)
+    best, each = score.argmax(axis=1), np.arange(len(score))
+    cur, mean = score[each, best], np.cumsum(score, axis=1)[:, -1] / len(lags)
+    inside = (best > 0) & (best < len(lags) - 1)
+    prev, following = score[each, np.maximum(best - 1, 0)], score[each, np.minimum(best + 1, len(lags) - 1)]
+    bend = 2 * (prev - 2 * cur + following)
+    bent = inside & (np.abs(bend) > 1e-6)
+    delta = np.where(bent, (prev - following) / np.where(bent, bend, 1.0), 0.0)
+    fine = lags[best] + np.where(np.abs(delta) <= 1, delta, 0.0)
+    ratio = np.where(cur > mean, (cur - mean) / (cur + 1e-4), 0.0)
+    return np.floor(np.clip(ratio * 255, 0.0, 255.0)) > CONFIDENT, 60.0 * frame_rate / fine
+
+
+def _block_estimates(block: np.ndarray, begins: np.ndarray, frame: np.ndarray, value: np.ndarray, frame_rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, frame and bpm of the confident estimates of blocks, whose frames stand in a row from begins on, in order."""
+    last = frame[np.append(begins[1:], len(frame)) - 1]
+    low = np.maximum(block * BLOCK, FIRST_FRAME) - WINDOW
+    # Windows go on as long as they hold a frame: whether the stream does is seen when all its blocks are known.
+    chunks = np.maximum(np.minimum((last - low) // EVERY + WINDOW // EVERY, ((block + 1) * BLOCK - low) // EVERY - 1), 0)
+    counts = np.maximum(chunks - WINDOW // EVERY + 1, 0)
+    at = np.cumsum(chunks) - chunks
+    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(frame))))
+    place = frame - low[of]
+    held = (place >= 0) & (place < chunks[of] * EVERY)
+    x = np.zeros(int(chunks.sum()) * EVERY + WINDOW)
+    x[(at[of] * EVERY + place)[held]] = value[held]
+    made = np.repeat(np.arange(len(begins)), counts)
+    nth = np.arange(len(made)) - np.repeat(np.cumsum(counts) - counts, counts)
+    sure, bpm = _confident(x, at[made] + nth, frame_rate)
+    return made[sure], (low[made] + nth * EVERY + WINDOW)[sure], bpm[sure]
+
+
+def _curve_estimates(nov: DataFrame, frame_rate: float) -> DataFrame:
+    """stream_id, n, bpm: the confident estimates at frames n of each stream, some of them after its end, and the last frame of each block, without bpm."""
+    to = lambda frames: F.floor(frames / BLOCK)
+    rows = nov.select("stream_id", F.col("frame_no").cast("long").alias("frame_no"), F.col("novelty").cast("double").alias("novelty"))
+    # A frame goes to its own block, and to the next one if that one's windows hold it.
+    rows = rows.withColumn("block", F.explode(F.sequence(to(F.col("frame_no")), to(F.col("frame_no") + WINDOW))))
+    dealt = rows.repartition("stream_id", "block").sortWithinPartitions("stream_id", "block", "frame_no", "novelty")
+
+    def blocks(whole: pa.RecordBatch, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        frame, value, block = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("frame_no", "novelty", "block"))
+        ends = np.append(begins[1:], whole.num_rows)
+        step = CHUNKS * EVERY // (BLOCK + WINDOW)
+        for k in range(0, len(begins), step):
+            b, e = begins[k : k + step], ends[k : k + step]
+            of, n, bpm = _block_estimates(block[b], b - b[0], frame[b[0] : e[-1]], value[b[0] : e[-1]], frame_rate)
+            own = frame[e - 1] >= block[b] * BLOCK
+            keys = whole.column("stream_id").take(pa.array(np.concatenate([b[of], b[own]])))
+            numbers = pa.array(np.concatenate([n, frame[e[own] - 1]]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, numbers, pa.concat_arrays([pa.array(bpm, pa.float64()), pa.nulls(int(own.sum()), pa.float64())])], ["stream_id", "n", "bpm"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            whole = batch if rest is None else pa.concat_batches([rest, batch])
+            if not whole.num_rows:
+                continue
+            key, block = whole.column("stream_id").dictionary_encode(null_encoding="encode").indices.to_numpy(), whole.column("block").to_numpy()
+            begins = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            yield from blocks(whole.slice(0, begins[-1]), begins[:-1])
+            rest = whole.slice(begins[-1])
+        if rest is not None:
+            yield from blocks(rest, np.zeros(1, dtype=np.int64))
+
+    return dealt.mapInArrow(run, f"stream_id {nov.schema['stream_id'].dataType.simpleString()}, n long, bpm double")
 
 
 def curve(nov: DataFrame, frame_rate: float, drift: float = 0.5) -> DataFrame:
-    """stream_id, time_ms, bpm: the tempo curve of nov(stream_id, frame_no, novelty), frames counted from 0.
+    """stream_id, time_ms, bpm: the tempo curve of nov(stream_id, frame_no, novelty), frames counted from 0; a frame without a row is silent.
 
     Estimates over the last WINDOW values are made at every EVERY-th frame from FIRST_FRAME on; the confident ones that differ by
-    drift from the last point are points, the first of them at time 0. A frame enters the WINDOW / EVERY estimates after it, by an
-    explode of that many rows, so no window of rows is copied.
+    drift from the last point are points, the first of them at time 0. Streams are cut into blocks of BLOCK frames with the WINDOW
+    frames before them, so a long stream is many tasks, and only confident estimates are dealt by stream.
     """
-    at = F.explode(F.sequence(F.greatest(F.ceil((F.col("frame_no") + 1) / EVERY) * EVERY, F.lit(FIRST_FRAME)), F.ceil((F.col("frame_no") + 1) / EVERY) * EVERY + WINDOW, F.lit(EVERY)))
-    last = nov.groupBy("stream_id").agg(F.max("frame_no").alias("last"))
-    # The estimate at frame a sees the frames before it.
-    rows = nov.select("stream_id", "frame_no", F.col("novelty").cast("double").alias("novelty"), at.alias("at")).where((F.col("frame_no") < F.col("at")) & (F.col("frame_no") >= F.col("at") - WINDOW))
-    rows = rows.join(last, "stream_id").where(F.col("at") <= F.col("last"))
-    windows = rows.groupBy("stream_id", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame_no", "novelty"))), lambda x: x["novelty"]).alias("x"))
-    keyed = windows.select(F.struct("stream_id", "at").alias("k"), "x").select(F.to_json("k").alias("stream_id"), "k", "x")
-    made = estimate(keyed.select("stream_id", "x"), frame_rate).join(keyed.select("stream_id", "k"), "stream_id")
-    sure = made.where(F.col("confidence") > CONFIDENT).select(F.col("k.stream_id").alias("stream_id"), F.col("k.at").alias("n"), "bpm")
-    points = curve_points(sure, drift)
+    made = _curve_estimates(nov, frame_rate)
+    # The estimate at frame a sees the frames before it, and is made if the stream has a frame there or later.
+    last = F.max(F.when(F.col("bpm").isNull(), F.col("n"))).over(Window.partitionBy("stream_id"))
+    points = curve_points(made.withColumn("last", last).where((F.col("n") <= F.col("last")) & F.col("bpm").isNotNull()).select("stream_id", "n", "bpm"), drift)
     first = F.row_number().over(Window.partitionBy("stream_id").orderBy("n")) == 1
     return points.select("stream_id", F.when(first, 0).otherwise(F.floor(F.col("n") * 1000 / frame_rate)).cast("long").alias("time_ms"), "bpm")
 

@@ -411,9 +411,11 @@ def envelope_stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tempo_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tempo curve of pulses that every event series sets off: one per row, 43 frames apart, its height the row's value."""
-    pulses = series(spark, sf_dir).select("stream_id", F.explode(F.sequence(F.col("n") * 43, F.col("n") * 43 + 42)).alias("frame_no"), "n", "v")
-    x = F.when(F.col("frame_no") == F.col("n") * 43, 100.0 + F.abs("v") % 50).otherwise(0.0)
-    return tempo.curve(pulses.select("stream_id", "frame_no", x.alias("novelty")), RATE / 512)
+    pulse = F.struct((F.col("n") * 43).alias("frame_no"), (100.0 + F.abs("v") % 50).alias("novelty"))
+    # Frames between a pulse and the last silent one before the next have no rows.
+    silent = F.struct((F.col("n") * 43 + 42).alias("frame_no"), F.lit(0.0).alias("novelty"))
+    pulses = series(spark, sf_dir).select("stream_id", F.explode(F.array(pulse, silent)).alias("p")).select("stream_id", "p.frame_no", "p.novelty")
+    return tempo.curve(pulses, RATE / 512)
 
 
 # --- sidecars ---

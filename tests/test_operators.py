@@ -228,3 +228,47 @@ def test_levels_of_spectra(spark):
     from cadenza.operators import spectrum
 
     assert [spectrum.pick_level(*a) for a in ((8999, 100, [9, 9]), (9000, 100, [9, 9]), (9000, 100, [9, 0]), (9000, 0, [9, 9]), (9000, 100, [9]))] == [0, 1, 0, 0, 0]
+
+
+def test_tempo_curve_over_blocks_and_silent_frames(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cadenza.operators import tempo
+
+    rng = np.random.default_rng(11)
+    rate, rows, dense, want = 86.0, [], [], {}
+    # None is a stream too; the frames of stream 4 pause for more than a block, and those of 5 end within a block's edge.
+    for sid, n in ((None, 9_000), (4, 3 * tempo.BLOCK), (5, tempo.BLOCK + 100), (6, 1)):
+        x = np.where(np.arange(n) % (30 + np.arange(n) // 2_000) == 0, 90.0 + rng.integers(0, 50, n), 0.0)
+        if sid == 4:
+            x[1_000 : tempo.BLOCK * 2 + 700] = 0.0
+        rows += [(sid, k, float(v)) for k, v in enumerate(x) if v or k == n - 1]
+        dense += [(sid, k, float(v)) for k, v in enumerate(x)]
+        at = list(range(256, n, 64))
+        windows = [(a, x[max(0, a - 512) : a].tolist()) for a in at] or [(0, [])]
+        kept = []
+        for e in tempo.estimate(spark.createDataFrame(windows, "stream_id long, x array<double>"), rate).orderBy("stream_id").collect():
+            if e["confidence"] > 50 and (not kept or abs(e["bpm"] - kept[-1][1]) >= 0.5):
+                kept.append((int(e["stream_id"] * 1000 / rate) if kept else 0, e["bpm"]))
+        if kept:
+            want[sid] = kept
+    assert len(want) == 3 and all(len(v) > 2 for v in want.values())
+    for given in (rows, dense):
+        nov = spark.createDataFrame(given, "stream_id long, frame_no long, novelty double").orderBy(F.rand(3))
+        got = {}
+        for r in tempo.curve(nov, rate).orderBy("stream_id", "time_ms").collect():
+            got.setdefault(r["stream_id"], []).append((r["time_ms"], r["bpm"]))
+        assert {k: [t for t, _ in v] for k, v in got.items()} == {k: [t for t, _ in v] for k, v in want.items()}
+        for sid, points in want.items():
+            assert np.allclose([b for _, b in got[sid]], [b for _, b in points], rtol=1e-9)
+    assert tempo.curve(nov.limit(0), rate).count() == 0
+
+
+def test_tempo_curve_sends_no_frames_to_the_driver(spark):
+    from cadenza.plans.signals import tempo_curve
+
+    curve = tempo_curve(spark, "/root/testdata/sf0.001")
+    curve.collect()
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
