@@ -66,3 +66,29 @@ def test_shards_hold_every_document(spark):
 
 def test_no_documents_no_shards(spark):
     assert t.token_output(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json")).count() == 0
+
+
+def test_letters_of_all_scripts_are_one_piece_in_the_byte_alphabet():
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(6)
+    letters = [x for x in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if x.isalpha()]
+    words = ["".join(rng.choice(letters[: rng.choice((52, 200, len(letters)))]) for _ in range(rng.randint(1, 8))) for _ in range(4_000)]
+    words += [f"a{x}b" for x in letters]
+    texts = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert t.ByteEncoder(path).encode(texts) == want
+
+
+def test_batches_of_a_task_are_encoded_together():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [f"some words again {'x' * n}"]}) for k, n in enumerate((10, 10, 500, 10, 10, 10))]
+    got = list(t.gathered(iter(batches), limit=200))
+    assert [b.column("doc_id").to_pylist() for b in got] == [[0, 1], [2], [3, 4, 5]]
+    assert list(t.gathered(iter([]))) == []
+    mine, seen = t.ByteEncoder(tokenizer_path("byte_bpe_50k.json")), []
+    tokenize, mine.tokenize = mine.tokenize, lambda x: seen.append(x) or tokenize(x)
+    for batch in t.gathered(iter(batches)):
+        mine.encode_array(batch.column("text"))
+    assert len(seen) == len(set(seen)) == 4
