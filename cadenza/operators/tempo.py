@@ -127,25 +127,30 @@ def _window_products(x: np.ndarray, starts: np.ndarray, lag: int) -> np.ndarray:
     n = len(x) - WINDOW
     a, b = x[:n].reshape(-1, EVERY), x[lag : lag + n].reshape(-1, EVERY)
     whole, left = divmod(WINDOW - lag, EVERY)
-    chunks = np.einsum("ij,ij->i", a, b)
-    sums = sum((chunks[starts + k] for k in range(whole)), np.zeros(len(starts)))
-    return sums + np.einsum("ij,ij->i", a[:, :left], b[:, :left])[starts + whole] if left else sums
+    chunks = np.vecdot(a, b)
+    size = max(0, len(chunks) - whole - (left > 0) + 1)
+    sums = chunks[:size].copy()
+    for k in range(1, whole):
+        sums += chunks[k : k + size]
+    if left:
+        sums += np.einsum("ij,ij->i", a[whole:, :left], b[whole:, :left])[:size]
+    return sums[starts]
 
 
 def _confident(x: np.ndarray, starts: np.ndarray, frame_rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Whether the estimates over the windows from chunks starts on are confident, and their bpm: the rules of `estimate`, in numpy."""
     lags = np.arange(LAGS[0], LAGS[1] + 1)
     octaves = [math.log(60.0 * frame_rate / lag / 120.0) / math.log(2.0) for lag in lags.tolist()]
-    weights = np.array([math.exp(-(o * o) / (2 * 0.8 * 0.8)) for o in octaves])
+    weights = [math.exp(-(o * o) / (2 * 0.8 * 0.8)) for o in octaves]
     r = {t: _window_products(x, starts, t) for t in sorted({int(m * t) for m in (1, 2, 4) for t in lags})}
-    r1, r2, r4 = (np.stack([r[int(m * t)] for t in lags], axis=1) for m in (1, 2, 4))
-    score = (r1 + 0.5 * r2 + 0.25 * r4) * weights
+    score = np.stack([(r[t] + 0.5 * r[2 * t] + 0.25 * r[4 * t]) * weight for t, weight in zip(lags.tolist(), weights)])
     size = np.abs(score)
-    score = np.where(size < 1 << 32, np.copysign(np.floor(size * 1e6 + 0.5) / 1e6, score), score)
-    best, each = score.argmax(axis=1), np.arange(len(score))
-    cur, mean = score[each, best], np.cumsum(score, axis=1)[:, -1] / len(lags)
+    rounded = np.copysign(np.floor(size * 1e6 + 0.5) / 1e6, score)
+    score = rounded if (size < 1 << 32).all() else np.where(size < 1 << 32, rounded, score)
+    best, each = score.argmax(axis=0), np.arange(len(starts))
+    cur, mean = score[best, each], np.add.accumulate(score)[-1] / len(lags)
     inside = (best > 0) & (best < len(lags) - 1)
-    prev, following = score[each, np.maximum(best - 1, 0)], score[each, np.minimum(best + 1, len(lags) - 1)]
+    prev, following = score[np.maximum(best - 1, 0), each], score[np.minimum(best + 1, len(lags) - 1), each]
     bend = 2 * (prev - 2 * cur + following)
     bent = inside & (np.abs(bend) > 1e-6)
     delta = np.where(bent, (prev - following) / np.where(bent, bend, 1.0), 0.0)
